@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from juncture.llm import decontaminate, language, neardup, quality, shard, toxicity, urls
+from juncture.llm import decontaminate, language, neardup, neighbours, quality, shard, toxicity, urls
 from juncture.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,5 +41,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontamination": op1_decontamination, "op6_neighbours": op6_neighbours, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
 SQL = {"op1_decontamination": decontaminate.SQL, "op5_urls": urls.SQL}
