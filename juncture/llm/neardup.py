@@ -30,6 +30,7 @@ _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(1, 1 << 63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype="uint64")
 _PLACES = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype="uint64") * np.uint64(2) + np.uint64(1)
+_LEFT_OUT = np.arange(HASHES, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
 _BOUNDS = np.linspace(0, HASHES, CHUNKS + 1).astype(int)
 
 
@@ -69,7 +70,7 @@ def keys(signatures: np.ndarray) -> np.ndarray:
         a, b = _BOUNDS[c], _BOUNDS[c + 1]
         total = mixed[:, a:b].sum(axis=1)
         for i in range(a, b):
-            out[:, i] = _mix(total - mixed[:, i] + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15))
+            out[:, i] = _mix(total - mixed[:, i] + _LEFT_OUT[i : i + 1])
     return out.view("int64")
 
 

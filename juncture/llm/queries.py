@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import decontaminate, language, neardup, neighbours, quality, shard, toxicity, urls
+from juncture.llm import decontaminate, language, mixing, neardup, neighbours, quality, shard, toxicity, urls
 from juncture.llm.common import table
 
 
@@ -17,6 +17,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Shares of tokens that op4 asks for.
+MIX = {"clean": 0.9, "junk": 0.05, "toxic": 0.05}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -41,5 +49,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op6_neighbours": op6_neighbours, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontamination": op1_decontamination, "op6_neighbours": op6_neighbours, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
 SQL = {"op1_decontamination": decontaminate.SQL, "op5_urls": urls.SQL}
