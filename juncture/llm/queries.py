@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import decontaminate, language, mixing, neardup, neighbours, quality, shard, toxicity, urls
+from juncture.llm import decontaminate, language, lines, mixing, neardup, neighbours, quality, shard, toxicity, urls
 from juncture.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op6_neighbours": op6_neighbours, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_lines": op2_lines, "op6_neighbours": op6_neighbours, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
 SQL = {"op1_decontamination": decontaminate.SQL, "op5_urls": urls.SQL}
