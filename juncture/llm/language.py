@@ -114,12 +114,16 @@ def _tables(texts: tuple[tuple[str, bytes], ...]) -> tuple[bytes, np.ndarray, np
         for s, moves in enumerate(states):
             for c, to in moves.items():
                 table[s, columns[c]] = to
-        fail = np.where(table[0] >= 0, table[0], 0)
+        # one row more: the state after a byte that the language doesn't have, a piece of its own
+        table = np.concatenate([table, np.full((1, width), -1, dtype="int64")])
+        fail = np.where(table[0] >= 0, table[0], len(states))
         missing = table < 0
-        table = (np.where(missing, fail[None, :], table) + offset) * width * 2 + missing
+        begins = missing.copy()
+        begins[0] = False  # the first piece is counted from the start
+        table = (np.where(missing, fail[None, :], table) + offset) * width * 2 + begins
         blocks.append(table)
         roots.append(offset * width)
-        offset += len(states)
+        offset += len(states) + 1
     return symbols, np.concatenate(blocks).ravel().astype("int32"), np.array(roots, dtype="int64")
 
 
