@@ -74,10 +74,15 @@ def phrase_hits(docs: DataFrame, key: str, items: DataFrame, window: int = WINDO
     counts = postings(docs, key, terms=item_terms).groupBy("term").agg(F.count("*").alias("_count"))
     counted = item_terms.join(counts, "term", "left").withColumn("_count", F.coalesce("_count", F.lit(0)))
     ahead = Window.partitionBy("_item").orderBy("off").rowsBetween(0, window - 1)
-    rarest = counted.withColumn("_rarest", F.min(F.struct("_count", "off", "term")).over(ahead)).filter((F.col("off") <= F.col("_n") - F.least("_n", F.lit(window))) & (F.col("_rarest._count") > 0))
-    anchors = cut(rarest.select("_item", F.col("_rarest.off").alias("off"), F.col("_rarest.term").alias("term")).distinct())
-    first = postings(docs, key, terms=anchors).join(_bounded(anchors), "term")
-    candidates = cut(first.select(key, "_item", (F.col("pos") - F.col("off")).alias("_diagonal")).distinct())
+    rarest = counted.withColumn("_terms", F.array_sort(F.collect_list(F.struct("_count", "off", "term")).over(ahead))).filter((F.col("off") <= F.col("_n") - F.least("_n", F.lit(window))) & (F.col("_terms")[0]["_count"] > 0))
+    # lists of the rarest term of each window; the next two are met at their offsets before a place counts
+    nth = lambda i: F.get("_terms", F.least(F.size("_terms") - 1, F.lit(i)))
+    lists = [x for i in range(3) for x in (nth(i)["off"].alias(f"off{i}"), nth(i)["term"].alias(f"term{i}"))]
+    anchors = cut(rarest.select("_item", *lists).distinct())
+    there = lambda i: F.get("_pieces", F.col("_at") + F.col(f"off{i}") - F.col("off0")) == F.col(f"term{i}")
+    pieces = docs.select(key, _pieces(F.col("text")).alias("_pieces")).select(key, "_pieces", F.posexplode("_pieces").alias("_at", "term0"))
+    first = pieces.join(_bounded(anchors), "term0").filter(there(1) & there(2))
+    candidates = cut(first.select(key, "_item", (F.col("_at") - _lead(F.col("_pieces")) - F.col("off0")).alias("_diagonal")).distinct())
     keys = candidates.select(key).distinct()
     index = cut(postings(docs.join(F.broadcast(keys) if keys.count() <= 4 * MOST_BROADCAST else keys, key, "left_semi"), key, terms=item_terms))
     expected = candidates.join(_bounded(item_terms), "_item").withColumn("pos", F.col("_diagonal") + F.col("off"))

@@ -76,7 +76,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 6
 
     Targets are shares of a total: the corpus's tokens, or, with `reference`, the total at which that domain keeps its own
     tokens (so its documents' rates stay near 1). A domain without any mass cannot be met and stays at its least squares.
-    Domains divide the squares by their target, which makes steps of one size sound.
+    Squares are divided by the domain's mass, so that no curvature exceeds 1 and steps of size 1 go down.
     """
     weight = sum(targets.values())
     share = {d: t / weight for d, t in targets.items()}
@@ -86,7 +86,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 6
     x: Column = F.lit(1.0)
     if total <= 0:
         return members.withColumn("rate", x)
-    scale = {d: max(share[d], float(first[d]) / total, 1e-6) for d in share}
+    scale = {d: max(float(first[d]) / total, 1e-3 * share[d], 1e-9) for d in share}
     got, before = {d: float(first[d]) for d in share}, None
     for step in range(1, most_steps + 1):
         residual = {d: (got[d] / total - share[d]) / scale[d] for d in share}
@@ -96,7 +96,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 6
         before = error
         x = F.greatest(F.lit(0.0), x - sum((F.lit(residual[d]) * F.col(f"p_{d}") for d in share), F.lit(0.0)))
         if step % 10 == 0:
-            members = cut(members.drop("_x").withColumn("_x", x))
+            members = cut(members.withColumn("_x", x))
             x = F.col("_x")
         now = members.agg(*[F.sum(mass * F.col(f"p_{d}") * x).alias(d) for d in share]).first()
         got = {d: float(now[d] or 0) for d in share}

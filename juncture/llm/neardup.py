@@ -3,8 +3,8 @@
 A signature has `hashes` symbols of 16 bits, the low ends of minimal shingle hashes. It is cut into chunks so that, by the
 pigeonhole, two signatures within the allowed distance agree in some chunk but for at most one symbol; each chunk is indexed
 once for each symbol left out, so every pair under the distance threshold meets. A bucket is not expanded into pairs: each
-member is compared with the bucket's least member, and only what this leaves unconnected is compared with the rest. Links
-are confirmed on the full sets of the texts, and components are found by star contraction.
+member is compared with the bucket's least member, its pivot, and only what this leaves unconnected is compared with the
+others of that pivot, in blocks inside tasks. Links are confirmed on the full sets of the texts, and components are found by star contraction.
 """
 
 from __future__ import annotations
@@ -176,6 +176,79 @@ def _with_sigs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
 
 
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """members (pivot, rep, root, main) dealt to pairs of blocks (pivot, i, j) of at most about `size` members a side.
+
+    Blocks of the rest (root <> main) meet each other and the blocks of the main component, which don't meet among themselves.
+    """
+    rest = F.col("root") != F.col("main")
+    counts = members.groupBy("pivot").agg(F.ceil(F.count_if(rest) / size).alias("nr"), F.ceil(F.count_if(~rest) / size).alias("nm"), F.count("*").alias("n")).filter("nr > 0 and n > 1").select("pivot", "nr", "nm")
+    dealt = members.join(counts, "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(rest, F.col("nr")).otherwise(F.greatest("nm", F.lit(1)))))
+    low, high = F.lit(0).cast("long"), F.col("nr") - 1
+    with_rest = F.transform(F.sequence(low, high), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    with_main = F.when(F.col("nm") > 0, F.transform(F.sequence(low, F.greatest("nm", F.lit(1)) - 1), lambda k: F.struct(F.col("own").alias("i"), (F.col("nr") + k).alias("j"))))
+    as_main = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("i"), (F.col("nr") + F.col("own")).alias("j")))
+    places = F.when(rest, F.concat(with_rest, F.coalesce(with_main, F.array().cast("array<struct<i:bigint,j:bigint>>")))).otherwise(as_main)
+    return dealt.withColumn("at", F.explode(places)).select("pivot", "at.i", "at.j", "rep", "root", (F.col("root") == F.col("main")).alias("is_main"))
+
+
+def _cross(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that may link: unlike roots, not both of the main component, within the distance."""
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="uint16").reshape(-1, HASHES)
+    root, main = table.column("root").to_numpy(), table.column("is_main").to_numpy()
+    n = table.column("n_shingles").to_numpy()
+    ok = np.triu(root[:, None] != root[None, :], 1) & ~(main[:, None] & main[None, :])
+    ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    x, y = np.nonzero(ok)
+    near = np.concatenate([(sig[x[a : a + 65536]] != sig[y[a : a + 65536]]).sum(axis=1) <= DISTANCE for a in range(0, len(x), 65536)]) if len(x) else np.zeros(0, dtype=bool)
+    return x[near], y[near]
+
+
+def _links(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, roots: list[int], percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (x, y) those that link, as far as they connect what others have not."""
+    parent: dict[int, int] = {r: r for r in roots}
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    out = []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        u, v = find(roots[a]), find(roots[b])
+        if u != v:
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                parent[u] = v
+                out.append((a, b))
+    return out
+
+
+def residual_links(members: DataFrame, reps: DataFrame, texts_of, percent: int, size: int = 128) -> DataFrame:
+    """(a, b): links between members (pivot, rep, root, main) of unlike roots that share a pivot, enough of them to connect all
+    that is connected. Blocks are compared inside tasks: first their signatures, then, of members with a near partner, the texts."""
+    sigs = reps.select("rep", "sig", "n_shingles")
+
+    def near(table: pa.Table) -> pa.Table:
+        x, y = _cross(table, percent)
+        some = table.take(pa.array(np.unique(np.concatenate([x, y])), pa.int64()))
+        return some.select(["pivot", "rep"])
+
+    def link(table: pa.Table) -> pa.Table:
+        x, y = _cross(table, percent)
+        sets = [shingles(t) for t in table.column("text").to_pylist()]
+        rep = table.column("rep").to_pylist()
+        found = _links(sets, x, y, table.column("root").to_pylist(), percent)
+        return pa.table({"a": pa.array([rep[a] for a, _ in found], pa.int64()), "b": pa.array([rep[b] for _, b in found], pa.int64())})
+
+    first = _blocks(members, 8 * size).join(sigs, "rep").groupBy("pivot", "i", "j").applyInArrow(near, "pivot long, rep long")
+    involved = cut(members.join(first.distinct(), ["pivot", "rep"]))
+    texts = texts_of(involved.select("rep"))
+    blocks = _blocks(involved, size).join(sigs, "rep").join(texts, "rep")
+    return blocks.groupBy("pivot", "i", "j").applyInArrow(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
 
@@ -185,31 +258,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     sketched = cut(sketch(docs))
     with_set = sketched.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = cut(with_set.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig")).alias("r")).select("set_key", "r.rep", "r.sig"))
+    reps = with_set.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig", "n_shingles")).alias("r"))
+    reps = cut(reps.select("set_key", "r.rep", "r.sig", "r.n_shingles"))
     met = entries(reps)
     buckets = met.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
-    shared = cut(met.join(buckets.hint("shuffle_hash"), "key"))
-    stars = shared.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = cut(met.join(buckets.hint("shuffle_hash"), "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     pairs = cut(within(_with_sigs(stars, reps)))
     source = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        return cut(of_ids(source, pairs.select("a").union(pairs.select("b")), "rep", "left_semi").dropDuplicates(["rep"]))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return cut(of_ids(source, ids, "rep", "left_semi").dropDuplicates(["rep"]))
 
-    first = cut(confirmed(pairs, texts_of(pairs), percent))
+    first = cut(confirmed(pairs, texts_of(pairs.select("a").union(pairs.select("b"))), percent))
     roots = components(first)
-    labelled = shared.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    state = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("rep", "root")).alias("p")).filter("low <> high").select("key", F.col("p.root").alias("main"))
-    open_ = cut(labelled.join(state.hint("shuffle_hash"), "key"))
-    rest = open_.filter("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"))
-    other = open_.filter("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"), "main")
-    unlike = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    left = rest.join(other, "key").filter(unlike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(within(_with_sigs(left, reps)))
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(first.unionByName(confirmed(more, texts_of(more), percent)))
+    of_pivot = roots.select(F.col("rep").alias("a"), F.col("root").alias("main"))
+    of_member = roots.select(F.col("rep").alias("b"), "root")
+    labelled = stars.join(of_pivot, "a", "left").join(of_member, "b", "left")
+    members = cut(labelled.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.coalesce("root", "b").alias("root"), F.coalesce("main", "a").alias("main")))
+    more = cut(residual_links(members, reps, texts_of, percent))
+    final = roots if more.isEmpty() else components(first.unionByName(more))
     groups = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     own: Column = F.col("doc_id").cast("long")
     joined = sketched.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")

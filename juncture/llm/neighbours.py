@@ -177,6 +177,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, l
                 best[who], which[who] = np.take_along_axis(all_scores, top, axis=1), np.take_along_axis(all_which, top, axis=1)
             row, place = np.nonzero(which >= 0)
             chosen = which[row, place]
+            order_of = np.lexsort((rid[chosen], -best[row, place], row))
+            row, chosen = row[order_of], chosen[order_of]
+            _, once = np.unique(np.stack([row, rid[chosen]], axis=1), axis=0, return_index=True)
+            once.sort()
+            nth = np.arange(len(once)) - np.searchsorted(row[once], row[once], "left")
+            row, chosen = row[once[nth <= k]], chosen[once[nth <= k]]
             # row by row sums, so that equal vectors get equal scores whatever the block they came in
             out = {"q": q[row], "rid": rid[chosen], "ids": left.column("ids").combine_chunks().take(pa.array(order[chosen])), "score": np.einsum("ij,ij->i", asked_v[row], data[chosen])}
         return pa.table({"q": pa.array(out["q"], pa.int64()), "rid": pa.array(out["rid"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())) if not isinstance(out["ids"], pa.Array) else out["ids"], "score": pa.array(out["score"], pa.float64())})
