@@ -88,7 +88,7 @@ def action_list(c: Column) -> Column:
     """array<string>: of a JSON list, or of text divided by , ; or |. Trimmed, without empties, sorted, once each."""
     listed = F.from_json(F.when(F.trim(c).startswith("["), c), "array<string>")
     parts = F.coalesce(listed, F.split(F.coalesce(c, F.lit("")), "[,;|]"))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def ratio(n: Column, d: Column) -> Column:

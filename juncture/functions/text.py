@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from juncture.functions.scalars import round2
 
 GAP, NEAR, DELIMITER, SKIP = 6, 6, 4, 3
-_LOOKALIKE = str.maketrans("@$01!37аеорсухіαεορν", "asoiieTaeopcyxiaeopv".lower())
+_LOOKALIKE = str.maketrans("@4$501!37аеорсухіαεορν", "aassoiietaeopcyxiaeopv")
 _SHORT = frozenset("a an and as at be by do for from he if in is it me my no not of on or so the to up us we with you".split())
 _TOKEN = re.compile(r"[a-z0-9_'\-]+")
 _QUOTES, _DELIMITERS = "\"“”«»`", ":;,.|\n()[]{}<>=!?"
