@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,7 @@ GAP, NEAR, DELIMITER, SKIP = 6, 6, 4, 3
 _LOOKALIKE = str.maketrans("@4$501!37аеорсухіαεορν", "aassoiietaeopcyxiaeopv")
 _SHORT = frozenset("a an and as at be by do for from he if in is it me my no not of on or so the to up us we with you".split())
 _TOKEN = re.compile(r"[a-z0-9_'\-]+")
+_WORD = re.compile(r"[\w'\-]+")
 _QUOTES, _DELIMITERS = "\"“”«»`", ":;,.|\n()[]{}<>=!?"
 
 
@@ -91,6 +92,12 @@ class Text:
     breaks: tuple[int, ...]
     quoted: tuple[tuple[int, int], ...]
 
+    @cached_property
+    def folded(self) -> tuple[str, ...]:
+        """The tokens with look-alikes folded; a sign counts as a letter only before another."""
+        plain = re.sub(r"[@$!](?=[@$!]*\w)", lambda m: m[0].translate(_LOOKALIKE), self.raw)
+        return tuple(merge_fragments([fold(t) for t in _WORD.findall(plain)]))
+
     @classmethod
     def of(cls, text: str | None) -> Text:
         raw = (text or "").lower()
@@ -139,8 +146,7 @@ def matches(text: Text, phrase: str) -> bool:
             return True
         if len(parts[0]) < 2:
             return False
-        folded = merge_fragments([fold(t) for t in text.tokens])
-        return in_order(folded, [fold(t) for t in parts[0]])
+        return in_order(list(text.folded), [fold(t) for t in parts[0]])
     left, op, right = parts[0], parts[1], parts[2] if len(parts) > 2 else ()
     if op == "__quoted__":
         return any(a <= s and e <= b for s, e in _spans(text.tokens, right or left) for a, b in text.quoted)

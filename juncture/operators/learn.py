@@ -355,7 +355,7 @@ def proposals(cells: Cells, trees: list[dict], most: int = 16) -> list[dict]:
         return []
     rest = Cells(cells.kinds, cells.axes, cells.codes, left, clean)
     rows = [{"tree": c.tree, "fixed": c.denied, "introduced": c.allowed, "safe": c.denied >= 2 and c.allowed == 0} for c in candidates(rest, left, 2)]
-    return sorted(rows, key=lambda r: (r["introduced"] - r["fixed"], r["introduced"], expr.signature(r["tree"])))[:most]
+    return sorted(rows, key=lambda r: (not r["safe"], r["introduced"] - r["fixed"], r["introduced"], expr.signature(r["tree"])))[:most]
 
 
 def vote_aware(df: DataFrame, policy: ActionPolicy, action: str, most_patterns: int = 100_000) -> ActionPolicy:

@@ -130,9 +130,9 @@ def cell_table(df: DataFrame, columns: list[str], denied: Column, most: int = MO
         if len(got) <= most_cells:
             break
         longest = max(len(axes[c]) for c in numbers) if numbers else 0
-        if longest <= 2:
+        if longest <= 1:
             raise ValueError(f"more than {most_cells} cells; give fewer features")
-        axes |= {c: axes[c][:: 2] for c in numbers if len(axes[c]) > max(2, longest // 2)}
+        axes |= {c: axes[c][::2] for c in numbers if len(axes[c]) > max(1, longest // 2)}
     got = got.sort_values(columns, kind="stable")
     return Cells(kinds, axes, {c: got[c].to_numpy("int64") for c in columns}, got["_d"].to_numpy("int64"), got["_a"].to_numpy("int64"))
 
@@ -223,7 +223,7 @@ def atoms(cells: Cells, left: np.ndarray, k: int = ATOMS) -> list[Candidate]:
 
 def conjunctions(cells: Cells, left: np.ndarray, singles: list[Candidate], most: int = 3, least: int = 2) -> list[Candidate]:
     """Conjunctions of up to `most` atoms of unlike features or directions, level by level; each must hit `least` denied rows
-    that are left and have more signal than its parts."""
+    that are left, and fewer allowed rows than without its last atom."""
     nd, na = int(left.sum()), int(cells.allowed.sum())
     place = {expr.key(c.tree): i for i, c in enumerate(singles)}
     level, out = singles[:LEVEL], []
@@ -240,7 +240,7 @@ def conjunctions(cells: Cells, left: np.ndarray, singles: list[Candidate], most:
                 if d < least or a >= c.allowed:
                     continue
                 signal = float(_signal(d, a, nd, na))
-                if signal > max(c.signal, s.signal):
+                if signal > 0:
                     tree = {"all": [*parts, s.tree]}
                     grown[expr.signature(tree)] = Candidate(tree, mask, d, a, signal)
         level = sorted(grown.values(), key=lambda c: c.order)[:LEVEL]

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import unquote_to_bytes
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,14 +219,9 @@ _REQUEST = "struct<method:string,path:string,headers:map<string,string>,query:ma
 
 def http_requests(texts: DataFrame, column: str = "value") -> DataFrame:
     """One row for each request block of each text: a block begins with a request line."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf(_REQUEST)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([parse_request(b) for b in batch], columns=["method", "path", "headers", "query", "body", "raw_request"])
+    def parse(blocks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_request(b) for b in blocks], columns=["method", "path", "headers", "query", "body", "raw_request"])
 
     blocks = F.split(F.col(column), r"\n(?=(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH) \S+ HTTP/)")
     rest = [c for c in texts.columns if c != column]
