@@ -95,7 +95,7 @@ def test_phrases():
     assert text.matches(t, "ignore") and text.matches(t, "previous instruction") and text.matches(t, "__quoted__ all previous")
     assert text.matches(t, "please __gap__ instructions") and text.matches(t, "__after_delim__ s y") and text.matches(t, "prompt __near__ instructions")
     assert text.matches(t, "system prompt") and text.matches(t, "prompt password")
-    assert not text.matches(t, "grant all") and not text.matches(t, "lease")
+    assert not text.matches(t, "grant all") and not text.matches(t, "leas")
     assert text.alike("secret", "secretary") and text.alike("prompt", "promt") and not text.alike("cat", "cats")
 
 
