@@ -24,7 +24,7 @@ BITS, BUCKET_BITS = 44, 14
 BUCKETS = 1 << BUCKET_BITS
 _LOW = np.uint64((1 << BITS) - 1)
 _HIGH30 = np.uint64((1 << 30) - 1)
-#: Candidates that a line puts forward for a word at first; lines that have more and match none of these come again with all.
+#: Candidates that a line puts forward for a word (and block of pairs) at first; lines that have more and match none of these come again with all.
 FIRST_CANDIDATES = 8
 MOST_BROADCAST = 4_000_000
 
@@ -35,7 +35,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def line_words(texts: list[str | None], block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def line_words(texts: list[str | None], block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, line, start, words) of blocks of lines that have words: words[start[i]:start[i + 1]] are the hashes of line i, as
     often as they occur."""
     digest = xxhash.xxh3_64_intdigest
@@ -56,7 +56,7 @@ def line_words(texts: list[str | None], block: int = 1 << 19) -> Iterator[tuple[
                 line.append(k)
                 sizes.append(len(own))
                 words += own
-        if len(row) >= block or len(words) >= 1 << 22:
+        if len(row) >= block or len(words) >= 1 << 20:
             for part in _split(block_of(), block):
                 yield part
             row, line, sizes, words = [], [], [], []
@@ -139,61 +139,75 @@ def prefix_entries(docs: DataFrame, rank: Broadcast) -> DataFrame:
     return docs.mapInArrow(run, "token long, set_id long, parity long, doc_id long, line long, shape long")
 
 
-def _matches(run: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """(x of at, y): which earlier members y of a run of one word pass all filters with x."""
-    size, place = run["shape"] >> 32, run["shape"] & 0xFFFFFFFF
-    a, b = size[at][:, None], size[None, :]
-    both = a + b
-    ok = (np.arange(len(size))[None, :] < at[:, None]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
-    ok &= 9 * (1 + np.minimum(a - 1 - place[at][:, None], b - 1 - place[None, :])) >= 4 * both
-    unlike = np.bitwise_count(run["parity"].view("uint64")[at][:, None] ^ run["parity"].view("uint64")[None, :])
-    return ok & (9 * unlike.astype("int64") <= both)
+def _pairs(run: dict[str, np.ndarray], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y), places of rows of one word each, y the earlier line, that pass all filters. `run` is ordered by (token, size):
+    a row's partners are the next rows up to 5 / 4 of its size. At most about `most` pairs are looked at together."""
+    size, place, token = run["shape"] >> 32, run["shape"] & 0xFFFFFFFF, run["token"]
+    group = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])]) << 32
+    stop = np.searchsorted(group | size, group | (size * 5 // 4), "right")
+    width = stop - np.arange(len(size)) - 1
+    edges = np.concatenate([[0], np.cumsum(width)])
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, "right")) - 1)
+        n = width[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(edges[at:to] - edges[at], n)
+        both = size[i] + size[j]
+        ok = 9 * (1 + np.minimum(size[i] - 1 - place[i], size[j] - 1 - place[j])) >= 4 * both
+        i, j, both = i[ok], j[ok], both[ok]
+        unlike = np.bitwise_count((run["parity"][i] ^ run["parity"][j]).view("uint64")).astype("int64")
+        ok = 9 * unlike <= both
+        i, j = i[ok], j[ok]
+        later = (run["doc_id"][i] > run["doc_id"][j]) | ((run["doc_id"][i] == run["doc_id"][j]) & (run["line"][i] > run["line"][j]))
+        yield np.where(later, i, j), np.where(later, j, i)
+        at = to
 
 
 def candidates(entries: DataFrame, limit: int | None, only: Broadcast | None = None) -> DataFrame:
-    """(x, y, more): y is an earlier line than x that may match it; of more than `limit` for a word the first, with more set.
-    With `only` (set ids, sorted), x is one of these. Runs of one word are read in order, in blocks."""
+    """(x, y, more): y is an earlier line than x that may match it; where a word gives x more than `limit`, so many of them
+    at least, with more set. With `only` (set ids, sorted), x is one of these. Entries come in the order of their words."""
     columns = ["token", "set_id", "parity", "doc_id", "line", "shape"]
 
-    def of_run(run: dict[str, np.ndarray]) -> list[np.ndarray]:
-        _, first = np.unique(run["set_id"], return_index=True)
-        run = {c: v[np.sort(first)] for c, v in run.items()}
-        ids, out = run["set_id"], []
-        asked = np.arange(len(ids)) if only is None else np.flatnonzero(np.isin(ids, only.value))
-        for start in range(0, len(asked), 256):
-            at = asked[start : start + 256]
-            ok = _matches(run, at)
-            n = ok.sum(axis=1)
-            if limit is not None:
-                ok &= np.cumsum(ok, axis=1) <= limit
-            x, y = np.nonzero(ok)
+    def distinct(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The earliest row of each set and word."""
+        order = np.lexsort((rows["line"], rows["doc_id"], rows["set_id"], rows["token"]))
+        token, ids = rows["token"][order], rows["set_id"][order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
+        return {c: v[order[new]] for c, v in rows.items()}
+
+    def of_runs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = distinct(rows)
+        order = np.lexsort((rows["shape"] >> 32, rows["token"]))
+        rows = {c: v[order] for c, v in rows.items()}
+        for x, y in _pairs(rows):
+            if only is not None:
+                chosen = np.isin(rows["set_id"][x], only.value)
+                x, y = x[chosen], y[chosen]
+            more = np.zeros(len(x), dtype="int64")
+            if limit is not None and len(x):
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                _, first, n = np.unique(x, return_index=True, return_counts=True)
+                nth = np.arange(len(x)) - np.repeat(first, n)
+                more = (np.repeat(n, n) > limit).astype("int64")
+                x, y, more = x[nth < limit], y[nth < limit], more[nth < limit]
             if len(x):
-                out.append(np.stack([ids[at][x], ids[y], (n[x] > (limit or len(ids))).astype("int64")]))
-        return out
+                yield pa.RecordBatch.from_arrays([pa.array(rows["set_id"][x]), pa.array(rows["set_id"][y]), pa.array(more)], ["x", "y", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {c: np.empty(0, "int64") for c in columns}
-
-        def emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
-                x, y, more = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["x", "y", "more"])
-
         for batch in batches:
             now = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False)]) for c in columns}
             edges = np.flatnonzero(np.diff(now["token"])) + 1
-            bounds = np.concatenate([[0], edges]).astype("int64")
-            found = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    found += of_run({c: now[c][a:b] for c in columns})
-            yield from emit(found)
-            held = {c: v[bounds[-1] :] for c, v in now.items()}
+            last = int(edges[-1]) if len(edges) else 0
+            if last:
+                yield from of_runs({c: v[:last] for c, v in now.items()})
+            held = {c: v[last:] for c, v in now.items()}
             if len(held["token"]) > 1:
-                _, first = np.unique(held["set_id"], return_index=True)
-                held = {c: v[np.sort(first)] for c, v in held.items()}
+                held = distinct(held)
         if len(held["token"]) > 1:
-            yield from emit(of_run(held))
+            yield from of_runs(held)
 
     return entries.mapInArrow(run, "x long, y long, more long")
 
@@ -244,7 +258,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     rank = np.empty(BUCKETS, dtype="int64")
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
     firsts = found.filter("kind = 0").groupBy(F.col("a").alias("set_id")).agg(F.min(F.struct(F.col("b").alias("doc_id"), F.col("c").alias("line"))).alias("p"))
-    ordered = prefix_entries(docs, spark.sparkContext.broadcast(rank)).repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    ordered = prefix_entries(docs, spark.sparkContext.broadcast(rank)).repartition("token").sortWithinPartitions("token")
     first = cut(candidates(ordered, FIRST_CANDIDATES).groupBy("x", "y").agg(F.max("more").alias("more")))
     sides = first.select(F.col("x").alias("set_id")).union(first.select("y")).distinct()
     matched = cut(verified(first, words_of(docs, sides)).select("x").distinct())
