@@ -164,10 +164,17 @@ def _pairs(run: dict[str, np.ndarray], most: int = 1 << 21) -> Iterator[tuple[np
         at = to
 
 
+def marked(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries with chosen = 1 where their set is in `ids` (column set_id, distinct), else 0. Joined by a shuffle."""
+    return entries.join(ids.select("set_id", F.lit(1).cast("long").alias("chosen")).hint("merge"), "set_id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(0).cast("long")))
+
+
 def candidates(entries: DataFrame, limit: int | None, only: Broadcast | None = None) -> DataFrame:
     """(x, y, more): y is an earlier line than x that may match it; where a word gives x more than `limit`, so many of them
-    at least, with more set. With `only` (set ids, sorted), x is one of these. Entries come in the order of their words."""
-    columns = ["token", "set_id", "parity", "doc_id", "line", "shape"]
+    at least, with more set. With `only` (set ids, sorted), x is one of these; of `marked` entries, x is a chosen one. Entries
+    come in the order of their words."""
+    by_mark = "chosen" in entries.columns
+    columns = ["token", "set_id", "parity", "doc_id", "line", "shape", *(["chosen"] if by_mark else [])]
 
     def distinct(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """The earliest row of each set and word."""
@@ -184,6 +191,9 @@ def candidates(entries: DataFrame, limit: int | None, only: Broadcast | None = N
             if only is not None:
                 chosen = np.isin(rows["set_id"][x], only.value)
                 x, y = x[chosen], y[chosen]
+            if by_mark:
+                chosen = rows["chosen"][x] == 1
+                x, y = x[chosen], y[chosen]
             more = np.zeros(len(x), dtype="int64")
             if limit is not None and len(x):
                 order = np.argsort(x, kind="stable")
@@ -258,7 +268,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     rank = np.empty(BUCKETS, dtype="int64")
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
     firsts = found.filter("kind = 0").groupBy(F.col("a").alias("set_id")).agg(F.min(F.struct(F.col("b").alias("doc_id"), F.col("c").alias("line"))).alias("p"))
-    ordered = prefix_entries(docs, spark.sparkContext.broadcast(rank)).repartition("token").sortWithinPartitions("token")
+    entries = prefix_entries(docs, spark.sparkContext.broadcast(rank))
+    ordered = entries.repartition("token").sortWithinPartitions("token")
     first = cut(candidates(ordered, FIRST_CANDIDATES).groupBy("x", "y").agg(F.max("more").alias("more")))
     sides = first.select(F.col("x").alias("set_id")).union(first.select("y")).distinct()
     matched = cut(verified(first, words_of(docs, sides)).select("x").distinct())
@@ -266,9 +277,11 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     again = cut(again)
     if (n := again.count()) > 0:
         if n > MOST_BROADCAST:
-            raise RuntimeError(f"{n} lines share words with many like lines and match none of the first; raise FIRST_CANDIDATES")
-        only = spark.sparkContext.broadcast(np.sort(again.toArrow().column("set_id").to_numpy()))
-        rest = cut(candidates(ordered, None, only).select("x", "y").distinct())
+            found_again = candidates(marked(entries, again).repartition("token").sortWithinPartitions("token"), None)
+        else:
+            only = spark.sparkContext.broadcast(np.sort(again.toArrow().column("set_id").to_numpy()))
+            found_again = candidates(ordered, None, only)
+        rest = cut(found_again.select("x", "y").distinct())
         sides = rest.select(F.col("x").alias("set_id")).union(rest.select("y")).distinct()
         matched = matched.union(verified(rest, words_of(docs, sides)).select("x")).distinct()
     return firsts.join(matched.withColumnRenamed("x", "set_id"), "set_id", "left_anti").select("p.doc_id", "p.line")

@@ -192,6 +192,30 @@ def test_lines_match_brute_force(spark, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
+def test_many_lines_that_come_again_are_joined_by_a_shuffle(spark, monkeypatch):
+    rng = random.Random(23)
+    made = sorted({w for w in words(rng, 4000) if len(w) > 3})
+    _, _, start, hashes = next(lines.line_words(["\n".join(made)]))
+    parity = lines.Sets(start, hashes, np.arange(lines.BUCKETS)).parity
+    fillers = [w for w, p in zip(made, parity, strict=True) if p == parity[0]][:20]
+    assert len(fillers) == 20
+    template = [f"t{i}" for i in range(12)]
+    # lines of a group share its word and pass the filters: words that differ between them cancel out in the parity
+    rows = [(i, " ".join([f"group{i % 10}", *template, *rng.sample(fillers, 6)])) for i in range(120)]
+    expected = lines.brute_force(rows)
+    assert expected
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lines, "FIRST_CANDIDATES", 1)
+    marks = []
+    plain = getattr(lines, "marked", None)
+    monkeypatch.setattr(lines, "marked", lambda *a: marks.append(1) or plain(*a), raising=False)
+    for most in (4_000_000, 0):
+        monkeypatch.setattr(lines, "MOST_BROADCAST", most)
+        got = {r.doc_id: r.n_removed for r in lines.deduplicated(frame).collect()}
+        assert got == {d: len(expected.get(d, ())) for d, _ in rows}
+    assert marks
+
+
 def test_quality(docs, labels, rows, empty):
     got = quality.quality_of_documents(docs.withColumn("label", F.lit(3)), labels).collect()
     assert len(got) == len(rows)
