@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from juncture.llm.common import cut
 
-HASHES, CHUNKS, SHINGLE = 48, 10, 5
+#: Of pairs with similarity 0.80 about 3e-6 have more unlike symbols than DISTANCE, of pairs with 0.85 about 1e-8 (binomial).
+HASHES, CHUNKS, SHINGLE = 48, 12, 5
 #: Two signatures with at most this many unlike symbols share a chunk but for one symbol.
 DISTANCE = 2 * CHUNKS - 1
 #: Ids that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.

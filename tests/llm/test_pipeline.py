@@ -49,3 +49,33 @@ def test_run(spark, tmp_path):
     corpus(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and out.count() > 150
+
+
+def test_near_copies_from_four_fifths_are_linked(spark, tmp_path):
+    from juncture.llm import neardup
+
+    rng = random.Random(5)
+    rows, pairs = [], 0
+    for i in range(20):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(104)]
+        other = list(w)
+        for at in (20, 60):
+            other[at] = f"new{i}"
+        # 100 shingles, 10 of them changed: 90 / 110 = 0.818
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        a, b = (set(neardup.shingles(t).tolist()) for _, t in rows[-2:])
+        pairs += 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    assert pairs == 20
+    docs = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {2 * i for i in range(20)}
+    assert neardup.near_duplicates(docs).filter("kept").count() == 40
+
+
+def test_few_like_pairs_are_beyond_the_distance():
+    from math import comb
+
+    from juncture.llm import neardup
+
+    n, share = neardup.HASHES, 1 - corpus_pipeline.NEAR_PERCENT / 100
+    assert sum(comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(neardup.DISTANCE + 1, n + 1)) < 1e-5
