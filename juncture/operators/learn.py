@@ -361,13 +361,17 @@ def proposals(cells: Cells, trees: list[dict], most: int = 16) -> list[dict]:
 def vote_aware(df: DataFrame, policy: ActionPolicy, action: str, most_patterns: int = 100_000) -> ActionPolicy:
     """Drops rules while the weighted vote agrees with no fewer training rows. Rows are first reduced to patterns."""
     c = Compiler(policy.features, "lenient")
-    rules = policy.ordered()[:62]
-    bits = F.lit(0).cast("long")
-    for i, r in enumerate(rules):
-        bits = bits.bitwiseOR(F.when(c.tree(r.when), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    rows = df.groupBy(bits.alias("b"), F.col(action).alias("a")).count().limit(most_patterns + 1).collect()
-    if len(rows) > most_patterns:
+    rules = policy.ordered()
+    words = []
+    for at in range(0, len(rules), 62):
+        bits = F.lit(0).cast("long")
+        for i, r in enumerate(rules[at : at + 62]):
+            bits = bits.bitwiseOR(F.when(c.tree(r.when), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        words.append(bits)
+    found = df.groupBy(F.array(*words).alias("b"), F.col(action).alias("a")).count().limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
         raise ValueError(f"more than {most_patterns} patterns of rules")
+    rows = [{"b": sum(w << (62 * k) for k, w in enumerate(r["b"])), "a": r["a"], "count": r["count"]} for r in found]
 
     def agreed(kept: list[int]) -> int:
         total = 0
@@ -404,4 +408,15 @@ def select_phrases(hits: np.ndarray, negatives: np.ndarray, most: int = 16) -> l
     missed = f[(1 << len(order)) - 1 - subsets]
     wrong = sum(((subsets >> i) & 1) * int(negatives[p]) for i, p in enumerate(order)) if order else np.zeros(1, int)
     best = int(np.lexsort((subsets, np.bitwise_count(subsets), wrong, missed))[0])
-    return sorted(order[i] for i in range(len(order)) if best >> i & 1)
+    chosen = [order[i] for i in range(len(order)) if best >> i & 1]
+    left = ~hits[:, chosen].astype(bool).any(axis=1)
+    rest = [i for i in range(n) if i not in set(order)]
+    while rest and left.any():
+        new = {i: int(hits[left, i].sum()) for i in rest}
+        i = min(rest, key=lambda i: (-new[i], negatives[i], i))
+        if not new[i]:
+            break
+        chosen.append(i)
+        rest.remove(i)
+        left &= ~hits[:, i].astype(bool)
+    return sorted(chosen)

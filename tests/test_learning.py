@@ -10,7 +10,7 @@ from juncture.operators import audit, compare, learn, metrics, mining
 from juncture.plans import expr
 from juncture.plans.compile import evaluate
 from juncture.plans.expr import leaf
-from juncture.plans.policy import Feature, Gate, Rule
+from juncture.plans.policy import ActionPolicy, Feature, Gate, Rule
 from juncture.sources import readers
 
 
@@ -135,3 +135,18 @@ def test_sources(spark, tmp_path):
     readers.write_traces(got, str(tmp_path / "out.csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out.csv")).count() == 2
     assert readers.read_yaml_rows(spark, "- {a: 1}\n- {b: 2}").count() == 2
+
+
+def test_phrases_beyond_the_exact_ones_cover_what_is_left():
+    hits = np.zeros((21, 17), dtype=bool)
+    hits[:20, :16] = True
+    hits[20, 16] = True
+    got = learn.select_phrases(hits, np.zeros(17, dtype=int))
+    assert 16 in got and len(got) == 2
+
+
+def test_votes_of_more_than_62_rules(spark):
+    rows = spark.createDataFrame([(i, f"a{i}") for i in range(70)] + [(-1, "none")], "x int, action string")
+    rules = tuple(Rule(f"r{i:02d}", expr.leaf("x", "==", i), i, f"a{i}", i, 1) for i in range(70))
+    got = learn.vote_aware(rows, ActionPolicy("p", (Feature("x", "float"),), rules, "none", mode="weighted_vote"), "action")
+    assert len(got.rules) == 70
