@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the session's shared folder: smaller than a checkpoint, for tables of many rows."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of (doc_id, text), by which rows are told apart where ids repeat or are null."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def of_rows(docs: DataFrame, keys: DataFrame, how: str, most: int = 4_000_000) -> DataFrame:
+    """docs joined with `keys` by _row: broadcast up to `most` of them, by a shuffle beyond."""
+    return docs.join(F.broadcast(keys) if keys.count() <= most else keys, "_row", how)
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, mod n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from juncture.llm.common import ascii_lower, cut
+from juncture.llm.common import ascii_lower, cut, of_rows, row_key
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -114,6 +114,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return out.select("doc_id", "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_ids"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` without any hit, with all their columns; a null doc_id or a shared one is no hindrance."""
+    keyed = docs.withColumn("_row", row_key(docs))
+    hits = phrase_hits(keyed.filter(F.col("text").isNotNull()).select("_row", "text"), "_row", items, window)
+    return of_rows(keyed, cut(hits.select("_row").distinct()), "left_anti").select(*docs.columns)
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 SQL = rf"""

@@ -14,11 +14,13 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from juncture.llm.common import cut
+from juncture.llm.common import cut, of_rows, row_key
+from juncture.llm.words import Block, blocks
+from juncture.llm.words import mix as _mix
 
 #: Of pairs with similarity 0.80 about 3e-6 have more unlike symbols than DISTANCE, of pairs with 0.85 about 1e-8 (binomial).
 HASHES, CHUNKS, SHINGLE = 48, 12, 5
@@ -35,24 +37,39 @@ _LEFT_OUT = np.arange(HASHES, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
 _BOUNDS = np.linspace(0, HASHES, CHUNKS + 1).astype(int)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
+def _of_block(block: Block, rows: int) -> list[np.ndarray]:
+    """The sets of the `rows` texts from the first one of a block on."""
+    first = int(block.row[0])
+    edges = np.append(block.start[np.searchsorted(block.row, np.arange(first, first + rows))], len(block.word))
+    w, n = block.word, len(block.word)
+    h = np.full(max(n - SHINGLE + 1, 0), SHINGLE, dtype="uint64")
+    for i in range(SHINGLE):
+        h += _mix(w[i : i + len(h)] + _PLACES[i]) * _PLACES[i]
+    h = _mix(h)
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a >= SHINGLE:
+            out.append(np.unique(h[a : b - SHINGLE + 1]))
+        elif b > a:
+            short = np.full(1, b - a, dtype="uint64")
+            for i in range(b - a):
+                short += _mix(w[a + i : a + i + 1] + _PLACES[i]) * _PLACES[i]
+            out.append(_mix(short))
+        else:
+            out.append(np.empty(0, dtype="uint64"))
+    return out
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct 5-word shingles; of its whole sequence, with fewer words."""
+    out: list[np.ndarray] = []
+    for block in blocks(column):
+        out += _of_block(block, int(block.row[-1] - block.row[0]) + 1)
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct 5-word shingles; of its whole sequence, with fewer words."""
-    words = text.encode("utf-8", "replace").lower().split(None) if text else []
-    if not words:
-        return np.empty(0, dtype="uint64")
-    digest = xxhash.xxh3_64_intdigest
-    w = np.fromiter(map(digest, words), dtype="uint64", count=len(words))
-    n = max(1, len(w) - SHINGLE + 1)
-    h = np.full(n, min(len(w), SHINGLE), dtype="uint64")
-    for i in range(min(SHINGLE, len(w))):
-        h += _mix(w[i : i + n] + _PLACES[i]) * _PLACES[i]
-    return np.unique(_mix(h))
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -76,20 +93,16 @@ def keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the full set; null if empty), sig."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """_row, _id, n_shingles, set_key (a digest of the full set; null if empty), sig, of (_row, _id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, sig = [], [], []
-            for at in range(batch.num_rows):
-                h = shingles(batch.column("text")[at].as_py())
-                n.append(len(h))
-                digest.append(blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                sig.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            sets = shingle_sets(batch.column("text"))
+            digest = [blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in sets]
+            sig = [signature(h).tobytes() if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["_row", "_id", "n_shingles", "set_key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig binary")
+    return docs.select("_row", "_id", "text").mapInArrow(run, "_row long, _id long, n_shingles long, set_key binary, sig binary")
 
 
 def entries(reps: DataFrame) -> DataFrame:
@@ -125,10 +138,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         last, of_last = None, np.empty(0, dtype="uint64")
         for batch in batches:
             good = []
-            for at, a in enumerate(batch.column("a").to_pylist()):
+            for at, (a, other) in enumerate(zip(batch.column("a").to_pylist(), shingle_sets(batch.column("text_b")), strict=True)):
                 if a != last:
                     last, of_last = a, shingles(batch.column("text_a")[at].as_py())
-                other = shingles(batch.column("text_b")[at].as_py())
                 both = len(np.intersect1d(of_last, other, assume_unique=True))
                 good.append(100 * both >= percent * (len(of_last) + len(other) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -167,12 +179,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("rep"), F.col("v").alias("root"))
 
 
-def of_ids(docs: DataFrame, ids: DataFrame, id_column: str, how: str) -> DataFrame:
-    """docs joined (left_semi or left_anti) with few or many ids: broadcast up to MOST_BROADCAST of them."""
-    ids = ids.select(F.col(ids.columns[0]).alias(id_column)).distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, id_column, how)
-
-
 def _with_sigs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
 
@@ -184,7 +190,8 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     """
     rest = F.col("root") != F.col("main")
     counts = members.groupBy("pivot").agg(F.ceil(F.count_if(rest) / size).alias("nr"), F.ceil(F.count_if(~rest) / size).alias("nm"), F.count("*").alias("n")).filter("nr > 0 and n > 1").select("pivot", "nr", "nm")
-    dealt = members.join(counts, "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(rest, F.col("nr")).otherwise(F.greatest("nm", F.lit(1)))))
+    counts = cut(counts)  # a table of its own, so that a pivot of many members is no task's alone in the join
+    dealt = members.join(F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts, "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(rest, F.col("nr")).otherwise(F.greatest("nm", F.lit(1)))))
     low, high = F.lit(0).cast("long"), F.col("nr") - 1
     with_rest = F.transform(F.sequence(low, high), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     with_main = F.when(F.col("nm") > 0, F.transform(F.sequence(low, F.greatest("nm", F.lit(1)) - 1), lambda k: F.struct(F.col("own").alias("i"), (F.col("nr") + k).alias("j"))))
@@ -238,7 +245,7 @@ def residual_links(members: DataFrame, reps: DataFrame, texts_of, percent: int,
 
     def link(table: pa.Table) -> pa.Table:
         x, y = _cross(table, percent)
-        sets = [shingles(t) for t in table.column("text").to_pylist()]
+        sets = [x for chunk in table.column("text").chunks for x in shingle_sets(chunk)]
         rep = table.column("rep").to_pylist()
         found = _links(sets, x, y, table.column("root").to_pylist(), percent)
         return pa.table({"a": pa.array([rep[a] for a, _ in found], pa.int64()), "b": pa.array([rep[b] for _, b in found], pa.int64())})
@@ -250,25 +257,27 @@ def residual_links(members: DataFrame, reps: DataFrame, texts_of, percent: int,
     return blocks.groupBy("pivot", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
+def groups(docs: DataFrame, percent: int) -> DataFrame:
+    """_row, _id, n_shingles, root for every row of `docs` (_row, _id, text): rows of one root are linked, by way of others too.
 
-    Texts with equal sets are one representative (their least doc_id), so copies cost nothing beyond the first. A null or
-    empty text, or one of white space, has no shingles and is linked with nothing. Rows that share a doc_id each take the
-    component of their own text. A row with a null doc_id takes no part in links: its component_id is null and it is kept.
+    Texts with equal sets are one representative, named by a hash of the set, so copies cost nothing beyond the first. Rows
+    without shingles have no root.
     """
     sketched = cut(sketch(docs))
-    with_set = sketched.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = with_set.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig", "n_shingles")).alias("r"))
-    reps = cut(reps.select("set_key", "r.rep", "r.sig", "r.n_shingles"))
+    sets = sketched.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(F.struct(F.col("_row").alias("own"), "sig", "n_shingles")).alias("r"))
+    named = sets.select("set_key", F.xxhash64("set_key").alias("rep"), "r.own", "r.sig", "r.n_shingles")
+    # two sets of one name: the second gets another
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("set_key"))
+    reps = cut(named.withColumn("_nth", nth).withColumn("rep", F.when(F.col("_nth") > 1, F.xxhash64("set_key", "_nth")).otherwise(F.col("rep"))).drop("_nth"))
     met = entries(reps)
     buckets = met.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     stars = cut(met.join(buckets.hint("shuffle_hash"), "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     pairs = cut(within(_with_sigs(stars, reps)))
-    source = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
+    source = docs.filter(F.col("text").isNotNull()).select("_row", "text")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return cut(of_ids(source, ids, "rep", "left_semi").dropDuplicates(["rep"]))
+        wanted = cut(reps.join(ids.toDF("rep").distinct(), "rep", "left_semi").select("rep", F.col("own").alias("_row")))
+        return cut(of_rows(source, wanted, "inner").dropDuplicates(["rep"]).select("rep", "text"))
 
     first = cut(confirmed(pairs, texts_of(pairs.select("a").union(pairs.select("b"))), percent))
     roots = components(first)
@@ -278,8 +287,54 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = cut(labelled.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.coalesce("root", "b").alias("root"), F.coalesce("main", "a").alias("main")))
     more = cut(residual_links(members, reps, texts_of, percent))
     final = roots if more.isEmpty() else components(first.unionByName(more))
-    groups = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    own: Column = F.col("doc_id").cast("long")
-    joined = sketched.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", own))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
+    rooted = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
+    return sketched.select("_row", "_id", "n_shingles", "set_key").join(rooted, "set_key", "left").select("_row", "_id", "n_shingles", "root")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
+
+    A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows that share a doc_id each
+    take the component of their own text. A row with a null doc_id takes no part in links: its component_id is null and it
+    is kept. A text of any length is shingled whole.
+    """
+    rows = docs.select("doc_id", row_key(docs).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
+    found = cut(groups(rows.filter("_id is not null"), percent))
+    least = found.filter("root is not null").groupBy("root").agg(F.min("_id").alias("least"))
+    least = cut(least.join(found.filter("root is not null").groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "root", "left_semi"))
+    linked = found.join(F.broadcast(least) if least.count() <= MOST_BROADCAST else least, "root", "left").withColumn("component_id", F.coalesce("least", "_id"))
+    kind = docs.schema["doc_id"].dataType
+    out = linked.select(F.col("_id").cast(kind).alias("doc_id"), "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    alone = rows.filter("_id is null")
+    single = sketch(alone).select(F.lit(None).cast(kind).alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(single)
+
+
+def one_of_each(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others), one of each group of linked ones: that of the least doc_id (null is the
+    greatest), then of the least hash of (doc_id, text); of rows equal in both, one. Rows without shingles stay, all of them."""
+    keyed = docs.withColumn("_row", row_key(docs)).withColumn("_id", F.col("doc_id").cast("long"))
+    found = cut(groups(keyed.select("_row", "_id", "text"), percent).filter("root is not null"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("p"), F.count("*").alias("n")).filter("n > 1")
+    stays = cut(first.select("root", F.col("p._row").alias("_row")))
+    more = found.join(stays.select("root"), "root", "left_semi").select("_row").distinct().join(stays.select("_row"), "_row", "left_anti")
+    rest = of_rows(keyed, cut(more), "left_anti")
+    twice = cut(found.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").join(stays.select("_row"), "_row", "left_semi").select("_row"))
+    single = of_rows(rest, twice, "left_anti").unionByName(of_rows(rest, twice, "left_semi").dropDuplicates(["_row"]))
+    return single.select(*docs.columns)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS v, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.v WHERE r.root < e.y),
+c AS (SELECT v, min(root) AS root FROM r GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id
+"""

@@ -55,4 +55,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_lines": op2_lines, "op6_neighbours": op6_neighbours, "op7_near_duplicates": op7_near_duplicates, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op8_shards": op8_shards, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
-SQL = {"op1_decontamination": decontaminate.SQL, "op5_urls": urls.SQL}
+SQL = {"op1_decontamination": decontaminate.SQL, "op5_urls": urls.SQL, "op7_near_duplicates": neardup.SQL}

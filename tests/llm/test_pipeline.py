@@ -72,6 +72,19 @@ def test_near_copies_from_four_fifths_are_linked(spark, tmp_path):
     assert neardup.near_duplicates(docs).filter("kept").count() == 40
 
 
+def test_stages_drop_rows_not_ids(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    stages = dict(corpus_pipeline.STAGES)
+    text = " ".join(f"a{i}" for i in range(40))
+    item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    rows = [(1, text), (1, text), (2, text + " b"), (None, text), (1, "another text of its own"), (None, item), (5, item + " x"), (5, "a clean text")]
+    docs = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", text), ("1", rows[4][1]), ("5", item + " x"), ("5", "a clean text")])
+    left = stages["decontamination"](spark, docs, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([(str(i), t) for i, t in rows if item not in t])
+
+
 def test_few_like_pairs_are_beyond_the_distance():
     from math import comb
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,24 @@ def test_near_duplicates_match_brute_force(docs, rows):
     assert all(r.n_shingles == shingles[r.doc_id] for r in got if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_duplicates_of_rows_that_share_an_id(spark, turned):
+    rng = random.Random(6)
+    a, b = (" ".join(words(rng, 60)) for _ in range(2))
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, "single"), (9, "single"), (None, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True)]
+
+
+def test_one_of_each_takes_rows_not_ids(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(5, a, "x"), (5, b, "y"), (7, a + " more", "x"), (8, b + " more", "x"), (9, c, "x"), (9, c, "z"), (None, a, "x"), (None, "", "x"), (None, "", "x"), (3, None, "x"), (6, "few words", "x"), (None, "few words", "x")]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, root string").withColumn("n", F.lit(1)), 85)
+    assert got.columns == ["doc_id", "text", "root", "n"]
+    assert sorted(((str(r.doc_id), str(r.text)) for r in got.collect())) == sorted([("5", a), ("5", b), ("9", c), ("None", ""), ("None", ""), ("3", "None"), ("6", "few words")])
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
@@ -161,6 +180,13 @@ def test_contamination_of_and_by_nothing(spark, empty, docs):
     assert decontaminate.contamination(docs.limit(3), nothing).filter("contaminated").count() == 0
 
 
+def test_clean_drops_rows_not_ids(spark, docs):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, "x " + item), (1, "another text"), (None, item), (None, "clean"), (2, None), (2, None)]
+    got = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit("a")), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, "another text", "a"), (None, "clean", "a"), (2, None, "a"), (2, None, "a")], "doc_id long, text string, pos string").collect()))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b x c"), (2, "a b c"), (3, "a"), (4, None)], "doc_id long, text string")
     index = decontaminate.postings(docs, "doc_id")
@@ -192,28 +218,104 @@ def test_lines_match_brute_force(spark, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
-def test_many_lines_that_come_again_are_joined_by_a_shuffle(spark, monkeypatch):
+def removed(spark, rows):
+    out = defaultdict(int)
+    for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out[r.doc_id] += r.n_removed
+    return dict(out)
+
+
+def test_lines_that_come_again(spark, monkeypatch):
+    """Few candidates at first, words divided into parts, and everything joined by a shuffle: the same lines go."""
     rng = random.Random(23)
-    made = sorted({w for w in words(rng, 4000) if len(w) > 3})
-    _, _, start, hashes = next(lines.line_words(["\n".join(made)]))
-    parity = lines.Sets(start, hashes, np.arange(lines.BUCKETS)).parity
-    fillers = [w for w, p in zip(made, parity, strict=True) if p == parity[0]][:20]
-    assert len(fillers) == 20
-    template = [f"t{i}" for i in range(12)]
-    # lines of a group share its word and pass the filters: words that differ between them cancel out in the parity
-    rows = [(i, " ".join([f"group{i % 10}", *template, *rng.sample(fillers, 6)])) for i in range(120)]
+    fillers = words(rng, 40)
+    rows = []
+    for i in range(160):
+        line = [f"group{i % 8}", *(f"t{k}" for k in range(12)), *rng.sample(fillers, 6)]
+        rows.append((i, " ".join(line) + ("\n" + " ".join([*rows[i - 40][1].split("\n")[0].split()[1:], "tail"]) if i > 80 else "")))
     expected = lines.brute_force(rows)
     assert expected
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {d: len(expected.get(d, ())) for d, _ in rows}
+    assert removed(spark, rows) == expected
+    rounds = []
+    plain = lines.candidates_again
+    monkeypatch.setattr(lines, "candidates_again", lambda *a: rounds.append(1) or plain(*a))
     monkeypatch.setattr(lines, "FIRST_CANDIDATES", 1)
-    marks = []
-    plain = getattr(lines, "marked", None)
-    monkeypatch.setattr(lines, "marked", lambda *a: marks.append(1) or plain(*a), raising=False)
-    for most in (4_000_000, 0):
-        monkeypatch.setattr(lines, "MOST_BROADCAST", most)
-        got = {r.doc_id: r.n_removed for r in lines.deduplicated(frame).collect()}
-        assert got == {d: len(expected.get(d, ())) for d, _ in rows}
-    assert marks
+    monkeypatch.setattr(lines, "CLEAR_CANDIDATES", 1)
+    monkeypatch.setattr(lines, "MOST_OF_A_WORD", 8)
+    assert removed(spark, rows) == expected and rounds
+    monkeypatch.setattr(lines, "MOST_BROADCAST", 0)
+    assert removed(spark, rows) == expected
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "other words\nalpha beta gamma delta"), (2, "Alpha  beta gamma delta"), (3, "x y"), (3, "x y"), (3, "x y"), (None, "x y"), (None, "x y")]
+    assert removed(spark, rows) == {1: 1, 2: 1, 3: 2, None: 0}
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sorted(r.text for r in got if r.doc_id == 3) == ["", "", "x y"]
+
+
+def test_a_word_in_most_lines(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(f"the of the {' '.join(words(rng, rng.randint(1, 6), 'abc'))} the" for _ in range(3))) for i in range(150)]
+    expected = lines.brute_force(rows)
+    assert removed(spark, rows) == {d: len(expected.get(d, ())) for d, _ in rows}
+
+
+def test_long_lines(spark):
+    rng = random.Random(12)
+    made = words(rng, 900, "abcdefghij")
+    rows = [(i, " ".join(rng.sample(made, rng.choice([40, 90, 190, 400])))) for i in range(60)]
+    for i in range(60, 140):
+        line = rows[rng.randrange(60)][1].split()
+        for _ in range(rng.randint(1, max(1, len(line) // 6))):
+            line[rng.randrange(len(line))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(line)))
+    expected = lines.brute_force(rows)
+    assert 20 < len(expected) < 80
+    assert removed(spark, rows) == {d: len(expected.get(d, ())) for d, _ in rows}
+
+
+def test_many_near_copies_of_a_line(spark):
+    rng = random.Random(31)
+    base = [f"word{i}" for i in range(30)]
+    rows = []
+    for i in range(700):
+        line = list(base)
+        for _ in range(rng.choice([1, 2, 3, 7])):
+            line[rng.randrange(30)] = f"other{rng.randrange(2000)}"
+        rows.append((1000 - i, " ".join(line)))
+    expected = lines.brute_force(rows)
+    assert 400 < len(expected) < 700
+    assert removed(spark, rows) == {d: len(expected.get(d, ())) for d, _ in rows}
+
+
+def test_entries_are_packed_and_unpacked():
+    rng = np.random.default_rng(5)
+    n = 500
+    size = rng.integers(4, 400, n)
+    e = {"token": np.sort(rng.integers(0, 1 << 40, n)), "doc_id": rng.integers(-(1 << 62), 1 << 62, n), "sub": rng.integers(-(1 << 63), (1 << 63) - 1, n), "shape": (size << 32) | rng.integers(0, 50, n), "split": rng.integers(0, 2, n)}
+    for i, c in enumerate(lines._PARITY):
+        e[c] = rng.integers(-(1 << 63), (1 << 63) - 1, n) * (size > [0, *np.repeat(lines.WIDER, (1, 2, 4))][i])
+    got = lines.unpacked(lines.packed(e))
+    assert set(got) == set(e) and all((got[c] == e[c]).all() for c in e)
+
+
+def test_word_blocks_match_plain_splitting(monkeypatch):
+    from juncture.llm import words as hashed
+
+    rng = random.Random(1)
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(" \n\tabAé\r") for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(rng.randint(1, 8))]
+        monkeypatch.setattr(hashed, "BLOCK", rng.choice([1, 4, 10, 1 << 20]))
+        column = pa.array(["x y", *texts])[1:]
+        got = [(int(r), int(k), b.word[s:e].tolist()) for b in hashed.blocks(column) for r, k, s, e in zip(b.row, b.line, b.start, b.start[1:], strict=False)]
+        plain = [(i, k, line.split()) for i, t in enumerate(texts) for k, line in enumerate((t or "").encode().lower().split(b"\n"))]
+        assert [(r, k, len(w)) for r, k, w in got] == [(r, k, len(w)) for r, k, w in plain]
+        names = {}
+        for (_, _, a), (_, _, b) in zip(got, plain, strict=True):
+            assert all(names.setdefault(w, h) == h for h, w in zip(a, b, strict=True))
+        assert len(set(names.values())) == len(names)
 
 
 def test_quality(docs, labels, rows, empty):
@@ -350,6 +452,39 @@ def test_neighbours(spark):
         assert [i for _, i, _ in sorted(got[q])] == [i for i in range(100, 122) if i != q][:20] or d[q] @ d[q] < (d @ d[q]).max() - 1e-9
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """400 unlike vectors with one and the same inner product to the query."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, *([0.0] * 7)])] + [(i, [1.0, *rng.integers(-9, 9, 7).astype(float).tolist()]) for i in range(1, 401)]
+    rng.shuffle(rows)
+    rows = [(int(i), [float(c) for c in v]) for i, v in rows]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, share=8.0)
+    assert [(r["rank"], r.vec_id) for r in got.orderBy("rank").collect()] == [(i, i) for i in range(1, 21)]
+
+
+@pytest.mark.parametrize("n", [500, 4000])
+def test_recall_of_vectors_without_structure(spark, n):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").withColumn("leaf", F.lit("a"))
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, cell_rows=1000).collect()}
+    scores = v[::20] @ v.T
+    scores[np.arange(0, n, 20) // 20, np.arange(0, n, 20)] = -9
+    true = {(q * 20, int(i)) for q, row in enumerate(scores) for i in np.argsort(-row)[:20]}
+    assert len(got & true) >= 0.9 * len(true)
+
+
+def test_large_leaves_are_read_in_pieces(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 8))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, share=9.0, leaf_size=200, cell_rows=60, block_rows=10).collect()}
+    scores = v[::20] @ v.T
+    scores[np.arange(0, 600, 20) // 20, np.arange(0, 600, 20)] = -np.inf
+    assert got == {(q * 20, int(i)) for q, row in enumerate(scores) for i in np.argsort(-row)[:20]}
+
+
 def test_few_neighbours(spark):
     got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
     assert sorted((r["rank"], r.vec_id) for r in got.collect()) == [(1, 2), (2, 1)]
