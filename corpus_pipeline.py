@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from juncture.llm import decontaminate, mixing, neardup, quality, shard
 from juncture.llm.common import checkpoint_folder, table
@@ -26,16 +25,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id. Similarity of at least NEAR_PERCENT links two."""
-    found = neardup.near_duplicates(docs, NEAR_PERCENT)
-    gone = found.filter(~F.col("kept")).select("doc_id")
-    return neardup.of_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays: the one with the least id. Similarity of at least NEAR_PERCENT links two; rows equal
+    in id and text are copies as well."""
+    return neardup.one_of_each(docs, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return neardup.of_ids(docs, found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold ten consecutive words of a benchmark item go, each judged by its own text whatever its id."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
