@@ -23,6 +23,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Rows go to Python in batches of at most `most` bytes, so that long texts don't add up; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+            return
+    except ValueError:
+        pass  # a setting with a unit
+    spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the session's shared folder."""
     checkpoint_folder(df.sparkSession)

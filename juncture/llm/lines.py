@@ -8,7 +8,7 @@ verified on the full sets.
 
 No text is shuffled for the search: a prefix entry names its line and carries its length, place and parity bits, and entries
 travel packed by column. A word with very many entries is divided by a hash of the line; lines for which that, or the number
-of candidates kept at first, leaves something open come again and meet all parts, until nothing is open.
+of candidates kept at first, leaves something open are met with the sets of all lines that share a prefix word.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juncture.llm.common import cut, stored
+from juncture.llm.common import cut, small_batches, stored
 from juncture.llm.words import Block, blocks, mix
 
 #: Words are counted in 2**COUNTER_BITS counters; two words that share one look as common as both together.
@@ -59,8 +60,8 @@ class Sets:
 
     def __init__(self, ids: np.ndarray, hashes: np.ndarray, block: Block, level: np.ndarray | None) -> None:
         full = np.flatnonzero(np.diff(block.start))
-        self.doc, self.line_no = ids[block.row[full]], block.line[full]
-        self.sub = ((hashes[block.row[full]].view("uint64") << np.uint64(32)) | block.line[full].astype("uint64")).view("int64")
+        self.doc = ids[block.row[full]]
+        self.sub = _sub(hashes[block.row[full]], block.line[full])
         line = np.repeat(np.arange(len(full), dtype="uint64"), np.diff(block.start)[full])
         word = block.word
         rank = np.zeros(len(word), dtype="uint8") if level is None else level[_counter(word)]
@@ -109,14 +110,26 @@ class Sets:
         return out | {c: self.parity[i, own].view("int64") for i, c in enumerate(_PARITY)}
 
 
-def _sets(batches: Iterator[pa.RecordBatch], level: np.ndarray | None) -> Iterator[Sets]:
+def _sets(batches: Iterator[pa.RecordBatch], level: np.ndarray | None, names: np.ndarray | None = None, counters: np.ndarray | None = None) -> Iterator[Sets]:
+    """The sets of all lines; of those in the sorted `names`; or of those with a word of a marked counter."""
     for batch in batches:
+        if names is not None:
+            batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), names["doc"])))
         ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
         for block in blocks(batch.column("text")):
             for some in block.parts(1 << 20):
+                if names is not None:
+                    some = some.only(_among(ids[some.row], _sub(hashes[some.row], some.line), names))
+                elif counters is not None:
+                    marked = np.concatenate([[0], np.cumsum(counters[_counter(some.word)])])
+                    some = some.only(marked[some.start[1:]] > marked[some.start[:-1]])
                 yield Sets(ids, hashes, some, level)
 
 
+def _sub(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return ((h.astype("uint64") << np.uint64(32)) | line.astype("uint64")).view("int64")
+
+
 class _New:
     """Which sets a task meets for the first time, or at an earlier place than before."""
 
@@ -462,37 +475,21 @@ def candidates(entries: DataFrame, limit: int, clear: int) -> DataFrame:
     return _by_line(entries.mapInArrow(run, _FOUND_SCHEMA), limit)
 
 
-def entry_rows(docs: DataFrame, level: Broadcast, tokens: Broadcast | None = None, lines: Broadcast | None = None) -> DataFrame:
-    """The prefix entries as rows: of the words in `tokens` (sorted) or of the lines in `lines`, or all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = _New()
-        for sets in _sets(batches, level.value):
-            at = sets.prefixes(_among(sets, lines.value) if lines is not None else new(sets))
-            if tokens is not None:
-                at = at[np.isin(sets.word[at].view("int64"), tokens.value)]
-            e = sets.entries(at)
-            yield pa.RecordBatch.from_arrays([pa.array(e[c]) for c in _ENTRY], list(_ENTRY))
-
-    return docs.mapInArrow(run, _ENTRY_SCHEMA)
-
-
 def _names(doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
     out = np.empty(len(doc), dtype=[("doc", "int64"), ("sub", "int64")])
     out["doc"], out["sub"] = doc, sub
     return out
 
 
-def _among(sets: Sets, names: np.ndarray) -> np.ndarray:
-    """Which lines of `sets` are in the sorted `names`."""
-    if not len(names) or not len(sets.size):
-        return np.zeros(len(sets.size), dtype=bool)
-    a, b = np.searchsorted(names["doc"], sets.doc, "left"), np.searchsorted(names["doc"], sets.doc, "right")
-    out = np.zeros(len(sets.size), dtype=bool)
-    for i in np.flatnonzero(b > a).tolist():
-        own = names["sub"][a[i] : b[i]]
-        k = int(np.searchsorted(own, sets.sub[i]))
-        out[i] = k < len(own) and own[k] == sets.sub[i]
+def _among(doc: np.ndarray, sub: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which lines are in the sorted `names`."""
+    out = np.zeros(len(doc), dtype=bool)
+    if len(names) and len(doc):
+        a, b = np.searchsorted(names["doc"], doc, "left"), np.searchsorted(names["doc"], doc, "right")
+        for i in np.flatnonzero(b > a).tolist():
+            own = names["sub"][a[i] : b[i]]
+            k = int(np.searchsorted(own, sub[i]))
+            out[i] = k < len(own) and own[k] == sub[i]
     return out
 
 
@@ -509,40 +506,95 @@ def _few(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFram
     return left.join(F.broadcast(right) if right.count() <= MOST_BROADCAST else right.hint("merge"), on, how)
 
 
-def candidates_again(docs: DataFrame, level: Broadcast, again: DataFrame, limit: int) -> DataFrame:
-    """`_by_line` for the lines `again` (x_doc, x_sub), each met with all entries of its words, whatever their number."""
-    names = again.select(F.col("x_doc").alias("doc_id"), F.col("x_sub").alias("sub"))
-    shared = _shared(names)
-    rows = entry_rows(docs, level, lines=shared) if shared is not None else entry_rows(docs, level).join(names.hint("merge"), ["doc_id", "sub"], "left_semi")
-    probes = cut(rows.select(*_ENTRY).distinct())
-    words = cut(probes.select("token").distinct())
-    if words.count() <= MOST_BROADCAST:
-        tokens = docs.sparkSession.sparkContext.broadcast(np.sort(words.toArrow().column(0).to_numpy()))
-        members = entry_rows(docs, level, tokens=tokens)
-    else:
-        members = entry_rows(docs, level).join(words.hint("merge"), "token", "left_semi")
-    members = cut(members.select(*_ENTRY))
-    pieces = members.groupBy("token").count().select("token", F.ceil(F.col("count") / MOST_OF_A_WORD).cast("int").alias("pieces")).filter("pieces > 1")
-    pieces = cut(pieces)
-    salted = _few(members, pieces, ["token"], "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", "sub"), "pieces"), F.lit(0)).cast("long")).withColumn("probe", F.lit(0).cast("long"))
-    asking = _few(probes, pieces, ["token"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)).cast("long") - 1))).withColumn("probe", F.lit(1).cast("long"))
-    columns = [*_ENTRY, "piece", "probe"]
+_MEMBER = (*_ENTRY, "probe")
+_MEMBER_SCHEMA = ", ".join(f"{c} long" for c in _MEMBER) + ", words binary"
+
+
+def _with_words(sets: Sets, at: np.ndarray, probe: int) -> pa.RecordBatch:
+    e = sets.entries(at) | {"probe": np.full(len(at), probe)}
+    own = sets.line[at]
+    lists = [sets.word[a:b].tobytes() for a, b in zip(sets.start[own].tolist(), sets.start[own + 1].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*(pa.array(e[c]) for c in _MEMBER), pa.array(lists, pa.binary())], [*_MEMBER, "words"])
+
+
+def _matches(rows: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
+    """Of the entries of one or more words those with probe = 1 whose lines match an earlier one among the others."""
+    order = np.lexsort((rows["shape"] >> 32, rows["token"]))
+    rows = {c: v[order] for c, v in rows.items()}
+    edges = np.concatenate([[0], np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1, [len(order)]])
+    found: set[int] = set()
+    for x, y, _ in _pairs(rows, np.flatnonzero(rows["probe"]), edges):
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            if a not in found:
+                s, t = (np.frombuffer(words[order[i]], "uint64") for i in (a, b))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 5 * both >= 4 * (len(s) + len(t) - both):
+                    found.add(a)
+    return order[sorted(found)]
+
+
+def matched_at_last(docs: DataFrame, level: Broadcast, again: DataFrame, words: DataFrame, piece: int = 1 << 16) -> DataFrame:
+    """(x_doc, x_sub) of the lines `again` that match an earlier one, each met with the sets of all lines that share a prefix
+    word, whatever their number. words: (doc_id, sub, words) of these lines at least."""
+    spark = docs.sparkSession
+    own = words.join(again.select(F.col("x_doc").alias("doc_id"), F.col("x_sub").alias("sub")), ["doc_id", "sub"], "left_semi")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(w, "uint64") for w in batch.column("words").to_pylist()]
+            n = len(lists)
+            doc, sub = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "sub"))
+            start = np.concatenate([[0], np.cumsum([len(w) for w in lists], dtype="int64")]).astype("int64")
+            block = Block(np.arange(n), sub & 0xFFFFFFFF, start, np.concatenate(lists) if n else np.empty(0, "uint64"))
+            sets = Sets(doc, sub.view("uint64") >> np.uint64(32), block, level.value)
+            yield _with_words(sets, sets.prefixes(np.ones(n, dtype=bool)), 1)
+
+    probes = cut(own.mapInArrow(ask, _MEMBER_SCHEMA))
+    tokens = cut(probes.select("token").distinct())
+    few = tokens.count() <= MOST_BROADCAST
+    wanted = spark.sparkContext.broadcast(np.sort(tokens.toArrow().column(0).to_numpy())) if few else None
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, counters = _New(), None
+        if few:
+            counters = np.zeros(1 << COUNTER_BITS, dtype=bool)
+            counters[_counter(wanted.value.view("uint64"))] = True
+        for sets in _sets(batches, level.value, counters=counters):
+            at = sets.prefixes(new(sets))
+            yield _with_words(sets, at[np.isin(sets.word[at].view("int64"), wanted.value)] if few else at, 0)
+
+    members = docs.mapInArrow(answer, _MEMBER_SCHEMA)
+    members = stored(members if few else members.join(tokens.hint("merge"), "token", "left_semi"))
+    pieces = cut(members.groupBy("token").count().select("token", F.ceil(F.col("count") / piece).cast("long").alias("pieces")).filter("pieces > 1"))
+    of = lambda df: df.join(F.broadcast(pieces) if pieces.count() <= MOST_BROADCAST else pieces.hint("merge"), "token", "left")
+    salted = of(members).withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", "sub"), "pieces"), F.lit(0).cast("long")))
+    asking = of(probes).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1).cast("long")) - 1)))
+    columns = [*_MEMBER, "words", "piece"]
     met = salted.select(*columns).unionByName(asking.select(*columns)).repartition("token", "piece").sortWithinPartitions("token", "piece")
-    kept = [*_ENTRY, "probe"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.empty(0, dtype="int64") for c in [*_ENTRY, "piece", "probe"]}
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            rows = {c: t.column(c).to_numpy() for c in _MEMBER}
+            at = _matches(rows, t.column("words").to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array(rows["doc_id"][at]), pa.array(rows["sub"][at])], ["x_doc", "x_sub"])
+
         for batch in batches:
-            now = {c: np.concatenate([v, batch.column(c).to_numpy(zero_copy_only=False)]) for c, v in held.items()}
-            edges = np.flatnonzero((np.diff(now["token"]) != 0) | (np.diff(now["piece"]) != 0)) + 1
-            last = int(edges[-1]) if len(edges) else 0
-            if last and (got := _best({c: now[c][:last] for c in kept}, limit, limit)):
-                yield got
-            held = {c: v[last:] for c, v in now.items()}
-        if len(held["token"]) and (got := _best({c: held[c] for c in kept}, limit, limit)):
-            yield got
+            for start in range(0, batch.num_rows, 1000):
+                some = batch.slice(start, 1000)
+                token, part = (some.column(c).to_numpy(zero_copy_only=False) for c in ("token", "piece"))
+                edges = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(token)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if held and (held[0].column("token")[0].as_py(), held[0].column("piece")[0].as_py()) != (int(token[a]), int(part[a])):
+                        yield out()
+                        held = []
+                    held.append(some.slice(a, b - a))
+        if held:
+            yield out()
 
-    return _by_line(met.mapInArrow(run, _FOUND_SCHEMA), limit)
+    return met.mapInArrow(run, "x_doc long, x_sub long").distinct()
 
 
 def words_of(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -550,19 +602,16 @@ def words_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     shared = _shared(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches, None):
-            at = np.flatnonzero(_among(sets, shared.value)) if shared is not None else np.arange(len(sets.size))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.doc[at]), pa.array(sets.sub[at]), pa.array([sets.word[sets.start[i] : sets.start[i + 1]].tobytes() for i in at.tolist()], pa.binary())], ["doc_id", "sub", "words"])
+        for sets in _sets(batches, None, names=shared.value if shared is not None else None):
+            lists = [sets.word[a:b].tobytes() for a, b in zip(sets.start[:-1].tolist(), sets.start[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.doc), pa.array(sets.sub), pa.array(lists, pa.binary())], ["doc_id", "sub", "words"])
 
     out = docs.mapInArrow(run, "doc_id long, sub long, words binary")
     return (out if shared is not None else out.join(names.hint("merge"), ["doc_id", "sub"], "left_semi")).dropDuplicates(["doc_id", "sub"])
 
 
-def verified(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x_doc, x_sub) of the lines that have a Jaccard similarity of at least 4 / 5 with one of their candidates `ys`."""
-    pairs = cut(found.select("x_doc", "x_sub", F.explode("ys").alias("y")).select("x_doc", "x_sub", "y.y_doc", "y.y_sub"))
-    x, y = ([F.col(f"{side}_doc").alias("doc_id"), F.col(f"{side}_sub").alias("sub")] for side in "xy")
-    words = cut(words_of(docs, cut(pairs.select(*x).union(pairs.select(*y)).distinct())))
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(x_doc, x_sub) of the lines that have a Jaccard similarity of at least 4 / 5 with a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -590,19 +639,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-n // (4 * PART)))
     entries = packed_entries(docs, shared, parts, divided(docs, shared))
     dealt = entries.repartition(min(parts, 1 << 15), "part").sortWithinPartitions("part")
-    limit, matched = FIRST_CANDIDATES, None
     # equal sets need no candidates: all but their first line go
-    open_ = candidates(dealt, limit, CLEAR_CANDIDATES).join(firsts.select(F.col("doc_id").alias("x_doc"), F.col("sub").alias("x_sub")), ["x_doc", "x_sub"], "left_semi")
-    while True:
-        open_ = cut(open_)
-        now = cut(verified(open_, docs))
-        matched = now if matched is None else matched.union(now)
-        again = cut(open_.filter("more = 1").select("x_doc", "x_sub").join(now, ["x_doc", "x_sub"], "left_anti"))
-        if again.isEmpty():
-            break
-        limit *= 16
-        open_ = candidates_again(docs, shared, again, limit)
-    return firsts.join(matched.select(F.col("x_doc").alias("doc_id"), F.col("x_sub").alias("sub")).distinct(), ["doc_id", "sub"], "left_anti")
+    found = candidates(dealt, FIRST_CANDIDATES, CLEAR_CANDIDATES)
+    found = cut(found.join(firsts.select(F.col("doc_id").alias("x_doc"), F.col("sub").alias("x_sub")), ["x_doc", "x_sub"], "left_semi"))
+    pairs = cut(found.select("x_doc", "x_sub", F.explode("ys").alias("y")).select("x_doc", "x_sub", "y.y_doc", "y.y_sub"))
+    x, y = ([F.col(f"{side}_doc").alias("doc_id"), F.col(f"{side}_sub").alias("sub")] for side in "xy")
+    words = cut(words_of(docs, cut(found.select(*x).union(pairs.select(*y)).distinct())))
+    matched = cut(verified(pairs, words))
+    again = cut(found.filter("more = 1").select("x_doc", "x_sub").join(matched, ["x_doc", "x_sub"], "left_anti"))
+    if not again.isEmpty():
+        matched = matched.union(cut(matched_at_last(docs, shared, again, words)))
+    return firsts.join(matched.select(*x), ["doc_id", "sub"], "left_anti")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -613,6 +660,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     share a doc_id are documents of their own, in the order of a hash of their texts; of rows that are equal in doc_id and
     text one is the first. A text of any length is read whole, in blocks.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     taking = F.col("_id").isNotNull() & F.col("text").isNotNull()
     rows = docs.select("doc_id", "text").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.when(taking, F.xxhash64("text").bitwiseAND(0xFFFFFFFF)))
@@ -632,17 +680,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, out = [], [], []
-            for whole, text, keep, copy in zip(batch.column("_id").to_pylist(), batch.column("text").to_pylist(), batch.column("_kept").to_pylist(), batch.column("_copy").to_pylist(), strict=True):
-                lines = [] if text is None else text.split("\n")
-                left = lines
-                if whole is not None:
-                    chosen = set(keep or ()) if copy == 0 else ()
-                    left = [x for i, x in enumerate(lines) if i in chosen or not x.strip(" \t\r\x0b\x0c")]
-                n.append(len(lines))
-                gone.append(len(lines) - len(left))
-                out.append(text if left is lines else "\n".join(left) if text is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
+            lines = pc.split_pattern(batch.column("text"), "\n")
+            n = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(n)])
+            flat = pc.list_flatten(lines)
+            stay = pc.equal(pc.ascii_trim_whitespace(flat), "").to_numpy(zero_copy_only=False)
+            stay |= np.repeat(batch.column("_id").is_null().to_numpy(zero_copy_only=False), n)
+            chosen = pc.fill_null(pc.list_value_length(batch.column("_kept")), 0).to_numpy(zero_copy_only=False)
+            own = np.repeat(batch.column("_copy").to_numpy(zero_copy_only=False) == 0, chosen)
+            stay[(np.repeat(start[:-1], chosen) + pc.list_flatten(batch.column("_kept")).to_numpy(zero_copy_only=False))[own]] = True
+            left = np.concatenate([[0], np.cumsum(stay)])[start]
+            texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(left, pa.int64()), flat.filter(pa.array(stay))), "\n")
+            texts = pc.if_else(batch.column("text").is_null(), pa.scalar(None, texts.type), texts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), texts.cast(pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
     return joined.select("doc_id", "_id", "text", "_kept", "_copy").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, text string")
 

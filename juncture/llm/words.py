@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in blocks of about so many bytes; a longer text goes in pieces that end at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _RANDOM = np.random.default_rng(20250301)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -79,6 +79,11 @@ class Block:
         line = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
         return cls(rows + first_row, line, np.append(np.searchsorted(starts, begins), len(starts)), word)
 
+    def only(self, chosen: np.ndarray) -> Block:
+        """The chosen lines."""
+        size = np.diff(self.start)
+        return Block(self.row[chosen], self.line[chosen], np.concatenate([[0], np.cumsum(size[chosen])]), self.word[np.repeat(chosen, size)])
+
     def parts(self, most: int) -> Iterator[Block]:
         """Blocks of at most `most` lines."""
         for a in range(0, len(self.row), most):

@@ -238,8 +238,8 @@ def test_lines_that_come_again(spark, monkeypatch):
     expected = {d: len(expected.get(d, ())) for d, _ in rows}
     assert removed(spark, rows) == expected
     rounds = []
-    plain = lines.candidates_again
-    monkeypatch.setattr(lines, "candidates_again", lambda *a: rounds.append(1) or plain(*a))
+    plain = lines.matched_at_last
+    monkeypatch.setattr(lines, "matched_at_last", lambda *a: rounds.append(1) or plain(*a, piece=8))
     monkeypatch.setattr(lines, "FIRST_CANDIDATES", 1)
     monkeypatch.setattr(lines, "CLEAR_CANDIDATES", 1)
     monkeypatch.setattr(lines, "MOST_OF_A_WORD", 8)
