@@ -17,11 +17,28 @@ from pyspark.sql import functions as F
 from juncture.functions.scalars import round2
 
 GAP, NEAR, DELIMITER, SKIP = 6, 6, 4, 3
-_LOOKALIKE = str.maketrans("@4$501!37аеорсухіαεορν", "aassoiietaeopcyxiaeopv")
-_SHORT = frozenset("a an and as at be by do for from he if in is it me my no not of on or so the to up us we with you".split())
+# Letters of other alphabets, by the Latin letter that they look like; signs and digits that stand for letters.
+LOOKALIKES = {
+    "a": "ΑαАаａＡ",
+    "e": "ΕεЕеｅＥ",
+    "o": "ΟοОоｏＯ",
+    "p": "ΡρРрｐＰ",
+    "x": "ΧχХхｘＸ",
+    "y": "ΥυУуｙＹ",
+    "t": "ΤτТтｔＴ",
+    "k": "ΚκКкｋＫ",
+    "m": "ΜμМмｍＭ",
+    "h": "ΝνНнｈＨ",
+    "c": "ΣσсСｃＣ",
+}
+STANDS_FOR = {"@": "a", "4": "a", "$": "s", "5": "s", "0": "o", "1": "i", "!": "i", "3": "e", "7": "t"}
+# Words that are no fragments of others.
+WHOLE_WORDS = ("a", "an", "and", "for", "how", "its", "not", "now", "the", "this", "that", "why")
+_FOLD = str.maketrans({x: k for k, v in LOOKALIKES.items() for x in v} | STANDS_FOR)
 _TOKEN = re.compile(r"[a-z0-9_'\-]+")
-_WORD = re.compile(r"[\w'\-]+")
-_QUOTES, _DELIMITERS = "\"“”«»`", ":;,.|\n()[]{}<>=!?"
+_FOLDED = re.compile(r"[a-z0-9]+")
+# Quotes, and what divides a text into parts.
+_QUOTES, _DELIMITERS = "\"`“”‘’", "\n\r:;|#>.!?[]{}"
 
 
 def contains_phrase(c: Column, phrase: str) -> Column:
@@ -57,29 +74,27 @@ def alike(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def fold(token: str) -> str:
-    """Look-alikes to letters, runs of one letter to two."""
-    return re.sub(r"(.)\1{2,}", r"\1\1", token.translate(_LOOKALIKE))
+def folded_tokens(text: str) -> list[str]:
+    """Runs of letters and digits once look-alikes are folded, runs of one character cut to two."""
+    return [re.sub(r"(.)\1{2,}", r"\1\1", t) for t in _FOLDED.findall(text.translate(_FOLD).lower())]
 
 
 def merge_fragments(tokens: list[str]) -> list[str]:
-    """Runs of four or more single letters (six in all), and two or three short pieces (six in all), become one token."""
+    """A run of six or more single letters, and three or else two short pieces (2 to 4 letters, six in all, none a whole word of
+    its own), become one token in their place."""
     out, i = [], 0
     while i < len(tokens):
         j = i
-        while j < len(tokens) and len(tokens[j]) == 1:
+        while j < len(tokens) and len(tokens[j]) == 1 and tokens[j].isalpha():
             j += 1
-        if j - i >= 6:
-            out.append("".join(tokens[i:j]))
-            i = j
-            continue
-        for n in (3, 2):
+        width = j - i if j - i >= 6 else 0
+        for n in (3, 2) if not width else ():
             part = tokens[i : i + n]
-            if len(part) == n and all(2 <= len(p) <= 4 and p not in _SHORT for p in part) and len("".join(part)) >= 6:
-                out.append("".join(part))
+            if len(part) == n and all(2 <= len(p) <= 4 and p.isalpha() and p not in WHOLE_WORDS for p in part) and sum(map(len, part)) >= 6:
+                width = n
                 break
-        out.append(tokens[i])
-        i += 1
+        out.append("".join(tokens[i : i + width]) if width else tokens[i])
+        i += width or 1
     return out
 
 
@@ -93,10 +108,10 @@ class Text:
     quoted: tuple[tuple[int, int], ...]
 
     @cached_property
-    def folded(self) -> tuple[str, ...]:
-        """The tokens with look-alikes folded; a sign counts as a letter only before another."""
-        plain = re.sub(r"[@$!](?=[@$!]*\w)", lambda m: m[0].translate(_LOOKALIKE), self.raw)
-        return tuple(merge_fragments([fold(t) for t in _WORD.findall(plain)]))
+    def folded(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """The folded tokens as they are, and with fragments merged."""
+        plain = folded_tokens(self.raw)
+        return tuple(plain), tuple(merge_fragments(plain))
 
     @classmethod
     def of(cls, text: str | None) -> Text:
@@ -115,18 +130,19 @@ def _spans(tokens: tuple[str, ...], phrase: tuple[str, ...]) -> list[tuple[int,
     return [(i, i + n) for i in range(len(tokens) - n + 1) if all(alike(tokens[i + k], phrase[k]) for k in range(n))] if n else []
 
 
-def in_order(tokens: list[str], phrase: list[str], skip: int = SKIP) -> bool:
-    """The phrase's words in order with at most `skip` others between two of them."""
-    for start, t in enumerate(tokens):
-        if not phrase or not alike(t, phrase[0]):
-            continue
-        at = start
-        for p in phrase[1:]:
-            at = next((k for k in range(at + 1, min(len(tokens), at + 2 + skip)) if alike(tokens[k], p)), -1)
-            if at < 0:
+def in_order(tokens: tuple[str, ...], phrase: tuple[str, ...], skip: int = SKIP) -> bool:
+    """The phrase's words in order with at most `skip` other tokens among them, all together."""
+    for start in range(len(tokens) if phrase else 0):
+        at, left = 0, skip
+        for t in tokens[start:]:
+            if alike(t, phrase[at]):
+                at += 1
+                if at == len(phrase):
+                    return True
+            elif left:
+                left -= 1
+            else:
                 break
-        else:
-            return True
     return False
 
 
@@ -144,9 +160,8 @@ def matches(text: Text, phrase: str) -> bool:
         exact = (r"(?<![a-z0-9])" if phrase[:1].isalnum() else "") + p + (r"(?![a-z0-9])" if phrase[-1:].isalnum() else "")
         if re.search(exact, text.raw) or _spans(text.tokens, parts[0]):
             return True
-        if len(parts[0]) < 2:
-            return False
-        return in_order(list(text.folded), [fold(t) for t in parts[0]])
+        wanted = tuple(f for t in parts[0] for f in folded_tokens(t))
+        return any(in_order(tokens, wanted) for tokens in text.folded)
     left, op, right = parts[0], parts[1], parts[2] if len(parts) > 2 else ()
     if op == "__quoted__":
         return any(a <= s and e <= b for s, e in _spans(text.tokens, right or left) for a, b in text.quoted)
@@ -187,6 +202,67 @@ def signal_flags(df: DataFrame, texts: list[str], signals: dict[str, list[str]])
     return out.withColumns({n: F.col("_flags")[i] for i, n in enumerate(names)}).drop("_flags")
 
 
+@dataclass(frozen=True)
+class Cues:
+    """What a guardrails observer looks for: phrases by signal, and the values that count without any phrase."""
+
+    override: tuple[str, ...] = ()
+    system_prompt: tuple[str, ...] = ()
+    secrets: tuple[str, ...] = ()
+    tool: tuple[str, ...] = ()
+    outside_scope: tuple[str, ...] = ()
+    document: tuple[str, ...] = ()
+    benign: tuple[str, ...] = ()
+    tool_actions: tuple[str, ...] = ()
+    tool_resources: tuple[str, ...] = ()
+    sensitive_actions: tuple[str, ...] = ()
+    scopes: tuple[str, ...] = ()
+
+
+#: Tools whose misuse weighs more.
+RISKY_TOOLS = ("browser", "filesystem", "shell")
+_OBSERVED = {"override": "requests_instruction_override", "system_prompt": "targets_system_prompt", "secrets": "requests_secret_exfiltration", "tool": "requests_tool_misuse", "outside_scope": "requests_data_access_outside_scope", "document": "contains_indirect_document_authority"}
+
+
+def guardrails(df: DataFrame, cues: Cues, prompt: str = "prompt", action: str | None = None, tool: str | None = None, scope: str | None = None, document: str | None = None) -> DataFrame:
+    """`df` with the six signals of an attack, is_likely_benign_question (a benign phrase and none of the six) and
+    attack_confidence. Columns that are not named, nulls and missing values count as empty or false.
+
+    One UDF counts the matching phrases of each kind; everything else is a Column. A tool term with a sensitive resource, a
+    sensitive action, a scope outside and instructions in a document count as one match each.
+    """
+    lists = [cues.override, cues.system_prompt, cues.secrets, cues.tool, cues.outside_scope, cues.document, cues.benign, cues.tool_actions, cues.tool_resources]
+
+    @F.pandas_udf("array<int>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[sum(matches(t, p) for p in held) for held in lists] for t in map(Text.of, texts)])
+
+    plain = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c else F.lit("")
+    n = [F.col("_counts")[i] for i in range(len(lists))]
+    among = lambda c, values: plain(c).isin(*values).cast("int") if values else F.lit(0)
+    counts = dict(zip(_OBSERVED, n, strict=False))
+    counts["tool"] = n[3] + ((n[7] > 0) & (n[8] > 0)).cast("int") + among(action, cues.sensitive_actions)
+    counts["outside_scope"] = n[4] + among(scope, cues.scopes)
+    counts["document"] = n[5] + (F.coalesce(F.col(document), F.lit(False)).cast("int") if document else F.lit(0))
+    signals = {_OBSERVED[k]: c > 0 for k, c in counts.items()}
+    none = ~F.greatest(*signals.values()) if len(signals) > 1 else ~next(iter(signals.values()))
+    total = sum(list(counts.values())[1:], counts["override"])
+    out = df.withColumn("_counts", count(F.coalesce(F.col(prompt), F.lit("")))).withColumns({**signals, "_total": total, "is_likely_benign_question": (n[6] > 0) & none})
+    risky = plain(tool).isin(*RISKY_TOOLS) & F.col(_OBSERVED["tool"])
+    return out.withColumn("attack_confidence", attack_confidence([F.col(c) for c in signals], F.col("_total"), risky, F.col("is_likely_benign_question"))).drop("_counts", "_total")
+
+
+#: Fields of a raw input that an observer of signals reads.
+SIGNAL_FIELDS = ("prompt", "message", "text", "content", "input", "query", "description", "body")
+
+
+def observed_fields(df: DataFrame, fields: tuple[str, ...] = SIGNAL_FIELDS) -> list[str]:
+    """The text columns by which a profile of signals is known to fit; none means that it doesn't."""
+    types = dict(df.dtypes)
+    return [f for f in fields if types.get(f) == "string"]
+
+
 def attack_confidence(signals: list[Column], cues: Column, tool: Column, benign: Column) -> Column:
     """0.02 + 0.14 a signal + 0.03 a cue (at most 6) + 0.1 for a tool, between 0 and 1, at most 0.1 if benign without a signal."""
     n = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))

@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 from juncture.functions.scalars import token
 
 BINS, TOP, THRESHOLD = 10, 3, 0.15
-#: Tokens of the two classes of a binary label.
-POSITIVE = ("1", "true", "yes", "y", "allow", "allowed", "approve", "approved", "pass", "permit", "permitted", "accept", "accepted", "grant", "granted")
-NEGATIVE = ("0", "false", "no", "n", "deny", "denied", "reject", "rejected", "block", "blocked", "fail", "forbid", "forbidden", "refuse", "refused")
+# Tokens of the two classes of a binary label.
+POSITIVE = ("1", "true", "yes", "y", "allow", "allowed", "approve", "approved", "grant", "granted", "pass", "passed", "ok", "safe", "benign")
+NEGATIVE = ("0", "false", "no", "n", "deny", "denied", "reject", "rejected", "block", "blocked", "flag", "flagged", "fail", "failed", "unsafe", "malicious")
 PREFERRED = ("allowed", "label", "decision", "outcome", "approved", "target", "result", "verdict")
 
 
@@ -24,6 +24,12 @@ def unpivot(df: DataFrame, columns: list[str], *keep: Column) -> DataFrame:
     return df.select(*keep, F.explode(F.array(*pairs)).alias("_x")).select(*[k for k in df.select(*keep).columns], "_x.*")
 
 
+def unpivot_numbers(df: DataFrame, columns: list[str], *keep: Column) -> DataFrame:
+    """(*keep, field, v): as `unpivot`, values as doubles."""
+    pairs = [F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns]
+    return df.select(*keep, F.explode(F.array(*pairs)).alias("_x")).select(*[k for k in df.select(*keep).columns], "_x.*")
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, rows, nulls, distinct, multi (rows whose text lists several values): values are counted first, then summed, so a
     frequent value is one row after the map side."""
@@ -48,7 +54,7 @@ def discrete_drift(df: DataFrame, columns: list[str], denied: Column) -> DataFra
 
 def numeric_drift(df: DataFrame, columns: list[str], denied: Column, bins: int = BINS) -> DataFrame:
     """field, drift, mean_denied, mean_allowed: total variation of histograms of equal width over the pooled range."""
-    numbers = unpivot(df, columns, denied.alias("_d")).withColumn("v", F.col("value").cast("double")).filter(F.col("v").isNotNull())
+    numbers = unpivot_numbers(df, columns, denied.alias("_d")).filter(F.col("v").isNotNull())
     ranges = numbers.groupBy("field").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.floor(F.least(F.greatest((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(0.999999)) * bins)).otherwise(0)
     binned = numbers.join(F.broadcast(ranges), "field").groupBy("field", at.alias("bin")).agg(F.count_if("_d").alias("d"), F.count_if(~F.col("_d")).alias("a"), F.sum(F.when(F.col("_d"), F.col("v"))).alias("sd"), F.sum(F.when(~F.col("_d"), F.col("v"))).alias("sa"))

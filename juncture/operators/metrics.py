@@ -26,23 +26,24 @@ def confusion(df: DataFrame, positive: Column, predicted: Column, by: list[str]
 
 
 def rule_reliability(df: DataFrame, gate: Gate, denied: Column, examples: int = 0) -> DataFrame:
-    """For each rule: matched, denied_hits, allowed_hits, precision, recall, fpr, lift; with `examples` also the least row
-    hashes of rows that it matches (as many at most). All rules are counted in one pass, whatever their number."""
+    """For each rule: matched, denied_hits, allowed_hits, precision, recall, fpr, lift; with `examples` also a list of the
+    `examples` least row hashes among the rows that it matches. All rules are counted in one pass, whatever their number."""
     c = Compiler(gate.features, "lenient")
     aggregates = [F.count("*").alias("_n"), F.count_if(denied).alias("_d")]
     names = [x.name for x in gate.features if not x.derived]
     for i, r in enumerate(gate.rules):
         m = c.tree(r.when)
         aggregates += [F.count_if(m).alias(f"m{i}"), F.count_if(m & denied).alias(f"d{i}")]
-        if examples:
-            # a bounded aggregate: the least hashes alone are kept
-            aggregates.append(F.min_by(row_hash(names), F.when(m, F.xxhash64(row_hash(names)))).alias(f"e{i}"))
     whole = df.agg(*aggregates)
-    fields = lambda i, r: [F.lit(r.id).alias("rule"), F.col(f"m{i}").alias("matched"), F.col(f"d{i}").alias("denied_hits"), *([F.col(f"e{i}").alias("example")] if examples else [])]
+    fields = lambda i, r: [F.lit(r.id).alias("rule"), F.col(f"m{i}").alias("matched"), F.col(f"d{i}").alias("denied_hits")]
     rows = whole.select("_n", "_d", F.explode(F.array(*[F.struct(*fields(i, r)) for i, r in enumerate(gate.rules)])).alias("x")).select("_n", "_d", "x.*")
     base = ratio(F.col("_d"), F.col("_n"))
     precision = ratio(F.col("denied_hits"), F.col("matched"))
     out = rows.withColumns({"allowed_hits": F.col("matched") - F.col("denied_hits"), "precision": precision, "recall": ratio(F.col("denied_hits"), F.col("_d")), "fpr": ratio(F.col("matched") - F.col("denied_hits"), F.col("_n") - F.col("_d")), "lift": ratio(precision, base)})
+    if examples:
+        hits = df.select(row_hash(names).alias("_h"), F.explode(F.array_compact(F.array(*[F.when(c.tree(r.when), F.lit(r.id)) for r in gate.rules]))).alias("rule")).distinct()
+        least = hits.withColumn("_k", F.row_number().over(Window.partitionBy("rule").orderBy("_h"))).filter(F.col("_k") <= examples)
+        out = out.join(least.groupBy("rule").agg(F.array_sort(F.collect_list("_h")).alias("examples")), "rule", "left")
     return out.drop("_n", "_d")
 
 

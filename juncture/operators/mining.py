@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from juncture.operators.audit import unpivot
+from juncture.operators.audit import unpivot, unpivot_numbers
 from juncture.plans import expr
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-#: More thresholds or values than this of one feature become so many quantiles, or the commonest values.
+#: Thresholds or values of one feature looked at together: with more, so many quantiles (with the least and the greatest) or the
+#: values of most signal come first, and `finer` brings in the others where a rule has its edge or rows are still missed.
 MOST_THRESHOLDS, MOST_CELLS = 256, 200_000
+#: Rows of either class from which a fifth is kept for validation.
+LEAST_OF_CLASS = 20
 EQ_VALUES, EQ_SUPPORT, EQ_SHARE = 20, 3, 0.001
 ATOMS, LEVEL, TOTAL = 128, 256, 2048
 
@@ -33,19 +36,29 @@ def gtest(d: Column, a: Column, nd: Column, na: Column) -> Column:
     return F.when((hit > 0) & (d * n > nd * hit), 2 * total).otherwise(0.0)
 
 
-def threshold_coverage(df: DataFrame, columns: list[str], denied: Column) -> DataFrame:
+def threshold_coverage(df: DataFrame, columns: list[str], denied: Column, ranges: int = 64) -> DataFrame:
     """field, threshold, op, denied_hits, allowed_hits, signal: for each threshold (denied values to three decimals) and
-    comparison, the rows that satisfy it. One histogram and one running sum instead of a scan for each threshold.
+    comparison, the rows that satisfy it. One histogram and running sums instead of a scan for each threshold.
 
-    The running sum takes the distinct values of a field in one task: use fields of bounded cardinality, or round them.
+    A field's values are divided into about `ranges` ranges; sums run within a range, and what lies before it is added from a
+    small table of sums, so no task holds a whole field.
     """
-    long = unpivot(df, columns, denied.alias("_d")).select("field", "_d", F.col("value").cast("double").alias("v")).filter(F.col("v").isNotNull())
+    long = unpivot_numbers(df, columns, denied.alias("_d")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     hist = long.groupBy("field", "v").agg(F.count_if("_d").alias("d"), F.count_if(~F.col("_d")).alias("a"))
     at = hist.filter("d > 0").select("field", (F.round(F.col("v") * 1000) / 1000).alias("v")).distinct()
     axis = hist.select("field", "v", "d", "a", F.lit(False).alias("t")).unionByName(at.select("field", "v", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("a"), F.lit(True).alias("t")))
-    axis = axis.groupBy("field", "v").agg(F.sum("d").alias("d"), F.sum("a").alias("a"), F.max("t").alias("t"))
-    upto, whole = Window.partitionBy("field").orderBy("v"), Window.partitionBy("field")
-    run = axis.select("field", "v", "t", "d", "a", F.sum("d").over(upto).alias("cd"), F.sum("a").over(upto).alias("ca"), F.sum("d").over(whole).alias("nd"), F.sum("a").over(whole).alias("na")).filter("t")
+    cuts = {r["field"]: r["q"] for r in axis.groupBy("field").agg(F.percentile_approx("v", [(i + 1) / ranges for i in range(ranges - 1)], 1000).alias("q")).collect()}
+    which = F.lit(0)
+    for c, q in cuts.items():
+        inner = F.array(*[F.lit(x) for x in sorted(set(q or ()))])
+        which = F.when(F.col("field") == c, F.size(F.filter(inner, lambda x: x <= F.col("v")))).otherwise(which)
+    axis = axis.withColumn("r", which).groupBy("field", "r", "v").agg(F.sum("d").alias("d"), F.sum("a").alias("a"), F.max("t").alias("t"))
+    sums = axis.groupBy("field", "r").agg(F.sum("d").alias("rd"), F.sum("a").alias("ra"))
+    whole, before = Window.partitionBy("field"), Window.partitionBy("field").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("field", "r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c[1]}") for c in ("rd", "ra")], F.sum("rd").over(whole).alias("nd"), F.sum("ra").over(whole).alias("na"))
+    inside = Window.partitionBy("field", "r").orderBy("v")
+    summed = axis.select("field", "r", "v", "t", "d", "a", F.sum("d").over(inside).alias("sd"), F.sum("a").over(inside).alias("sa")).filter("t")
+    run = summed.join(F.broadcast(offsets), ["field", "r"]).withColumns({"cd": F.col("sd") + F.col("bd"), "ca": F.col("sa") + F.col("ba")})
     ops = {"<": ("cd - d", "ca - a"), "<=": ("cd", "ca"), "==": ("d", "a"), ">=": ("nd - cd + d", "na - ca + a"), ">": ("nd - cd", "na - ca")}
     each = F.explode(F.array(*[F.struct(F.lit(o).alias("op"), F.expr(d).alias("denied_hits"), F.expr(a).alias("allowed_hits")) for o, (d, a) in ops.items()]))
     rows = run.select("field", F.col("v").alias("threshold"), "nd", "na", each.alias("x")).select("field", "threshold", "nd", "na", "x.*")
@@ -69,7 +82,9 @@ def patterns(df: DataFrame, trees: list[Column], denied: Column) -> DataFrame:
 class Cells:
     """Weighted cells on the driver. kinds: number, bool, string; axes: thresholds or values; codes: each cell's place.
 
-    A number's code is 2 * i + 1 at its i-th threshold and 2 * i below it; -1 is null.
+    A number's code is 2 * i + 1 at its i-th threshold and 2 * i below it; -1 is null. denied and allowed count the rows that
+    train; held_denied and held_allowed those kept for validation (none if a class has too few rows). `whole`: the features
+    of which every threshold or value is on the axis.
     """
 
     kinds: dict[str, str]
@@ -77,6 +92,13 @@ class Cells:
     codes: dict[str, np.ndarray]
     denied: np.ndarray
     allowed: np.ndarray
+    held_denied: np.ndarray
+    held_allowed: np.ndarray
+    whole: frozenset = frozenset()
+
+    def of(self, denied: np.ndarray, allowed: np.ndarray) -> Cells:
+        """The same cells with other training weights."""
+        return Cells(self.kinds, self.axes, self.codes, denied, allowed, np.zeros_like(denied), np.zeros_like(allowed), self.whole)
 
     def leaf(self, x: dict) -> np.ndarray:
         f, op, value = x["feature"], x["op"], x["value"]
@@ -97,17 +119,32 @@ class Cells:
         return self.leaf(tree)
 
 
-def cell_table(df: DataFrame, columns: list[str], denied: Column, most: int = MOST_THRESHOLDS, most_cells: int = MOST_CELLS) -> Cells:
-    """The cells of all rows. Only counts and axes come to the driver, at most `most_cells` rows of them: with more, the
-    axes of numbers are halved until they fit, which makes thresholds coarser and leaves no row out."""
+def kinds_of(df: DataFrame, columns: list[str]) -> dict[str, str]:
     types = dict(df.dtypes)
-    kinds = {c: "bool" if types[c] == "boolean" else "number" if types[c].startswith(NUMBERS) else "string" for c in columns}
+    return {c: "bool" if types[c] == "boolean" else "number" if types[c].startswith(NUMBERS) else "string" for c in columns}
+
+
+def first_axes(df: DataFrame, kinds: dict[str, str], denied: Column, most: int = MOST_THRESHOLDS) -> tuple[dict[str, list], frozenset]:
+    """(axes, the features of which they are whole)."""
+    numbers, strings = ([c for c, k in kinds.items() if k == kind] for kind in ("number", "string"))
+    axes: dict[str, list] = {c: [False, True] for c, k in kinds.items() if k == "bool"}
+    found, whole = _number_axes(df.filter(denied), {c: (c, None, None) for c in numbers}, most)
+    values, all_values = _string_axes(df, strings, denied, most)
+    return axes | found | values, frozenset([*axes, *whole, *all_values])
+
+
+def cell_table(df: DataFrame, columns: list[str], denied: Column, axes: tuple[dict[str, list], frozenset] | None = None, most_cells: int = MOST_CELLS, keep: dict[str, set] | None = None) -> Cells:
+    """The cells of all rows. Only counts and axes come to the driver, at most `most_cells` rows of them: with more, the
+    axes of numbers are halved (but for the thresholds in `keep`) until they fit, which makes thresholds coarser and leaves no
+    row out. A fifth of the rows, chosen by a hash of features and label, is kept for validation."""
+    kinds = kinds_of(df, columns)
     df = df.withColumn("_denied", F.coalesce(denied, F.lit(False)))
-    numbers, strings = [c for c in columns if kinds[c] == "number"], [c for c in columns if kinds[c] == "string"]
-    axes: dict[str, list] = {c: [False, True] for c in columns if kinds[c] == "bool"}
-    axes |= _number_axes(df.filter("_denied"), numbers, most) | _string_axes(df.filter("_denied"), strings, most)
+    numbers = [c for c in columns if kinds[c] == "number"]
+    axes, whole = axes or first_axes(df, kinds, F.col("_denied"))
+    keep = keep or {}
+    held = F.pmod(F.xxhash64(F.col("_denied"), *[F.col(f"`{c}`").cast("string") for c in columns]), F.lit(5)) == 0
     while True:
-        coded = df.select("_denied", *[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(numbers)], *[F.col(f"`{c}`") for c in columns if kinds[c] != "number"])
+        coded = df.select("_denied", held.alias("_held"), *[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(numbers)], *[F.col(f"`{c}`") for c in columns if kinds[c] != "number"])
         used = [(i, c) for i, c in enumerate(numbers) if axes[c]]
         if used:
             coded = Bucketizer(splitsArray=[[-float("inf"), *axes[c], float("inf")] for _, c in used], inputCols=[f"n{i}" for i, _ in used], outputCols=[f"b{i}" for i, _ in used], handleInvalid="keep").transform(coded)
@@ -125,43 +162,99 @@ def cell_table(df: DataFrame, columns: list[str], denied: Column, most: int = MO
             elif kinds[c] == "string":
                 place = F.array_position(F.array(*map(F.lit, axes[c])), F.col(f"`{c}`")).cast("int") - 1 if axes[c] else F.lit(-1)
                 codes.append(F.coalesce(place, F.lit(-1)).alias(c))
-        cells = coded.select("_denied", *codes).groupBy(*[f"`{c}`" for c in columns]).agg(F.count_if("_denied").alias("_d"), F.count_if(~F.col("_denied")).alias("_a"))
+        weights = [F.count_if((F.col("_denied") if d else ~F.col("_denied")) & (F.col("_held") if v else ~F.col("_held"))).alias(n) for n, d, v in (("_d", 1, 0), ("_a", 0, 0), ("_vd", 1, 1), ("_va", 0, 1))]
+        cells = coded.select("_denied", "_held", *codes).groupBy(*[f"`{c}`" for c in columns]).agg(*weights)
         got = cells.limit(most_cells + 1).toPandas()
         if len(got) <= most_cells:
             break
         longest = max(len(axes[c]) for c in numbers) if numbers else 0
-        if longest <= 1:
+        shorter = {c: [t for i, t in enumerate(axes[c]) if i % 2 == 0 or t in keep.get(c, ())] for c in numbers if len(axes[c]) > max(1, longest // 2)}
+        if all(len(v) == len(axes[c]) for c, v in shorter.items()):
             raise ValueError(f"more than {most_cells} cells; give fewer features")
-        axes |= {c: axes[c][::2] for c in numbers if len(axes[c]) > max(1, longest // 2)}
+        axes, whole = axes | shorter, whole - set(shorter)
     got = got.sort_values(columns, kind="stable")
-    return Cells(kinds, axes, {c: got[c].to_numpy("int64") for c in columns}, got["_d"].to_numpy("int64"), got["_a"].to_numpy("int64"))
-
-
-def _number_axes(denied: DataFrame, columns: list[str], most: int) -> dict[str, list]:
+    d, a, vd, va = (got[c].to_numpy("int64") for c in ("_d", "_a", "_vd", "_va"))
+    if min(d.sum() + vd.sum(), a.sum() + va.sum()) < LEAST_OF_CLASS or not min(d.sum(), a.sum(), vd.sum(), va.sum()):
+        d, a, vd, va = d + vd, a + va, np.zeros_like(d), np.zeros_like(a)
+    return Cells(kinds, axes, {c: got[c].to_numpy("int64") for c in columns}, d, a, vd, va, whole)
+
+
+def _thousandth(c: str) -> Column:
+    return F.round(F.col(f"`{c}`").cast("double") * 1000) / 1000
+
+
+def _number_axes(denied: DataFrame, spans: dict[str, tuple], most: int) -> tuple[dict[str, list], set]:
+    """For each name the thresholds of (column, above, below), both ends open or None: all of them if `most` suffice, else so
+    many quantiles with the least and the greatest; and the names of which they are all. Two jobs, whatever the number of names."""
+    if not spans:
+        return {}, set()
+    names = list(spans)
+    inside = []
+    for c, low, high in spans.values():
+        v = _thousandth(c)
+        ok = ~F.isnan(v)
+        for bound, test in ((low, v > low if low is not None else None), (high, v < high if high is not None else None)):
+            ok = ok if bound is None else ok & test
+        inside.append(F.when(ok, v))
+    shares = [(i + 1) / (most + 1) for i in range(most)]
+    aggregates = []
+    for i, v in enumerate(inside):
+        aggregates += [F.approx_count_distinct(v, 0.02).alias(f"n{i}"), F.percentile_approx(v, shares, 10_000).alias(f"q{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
+    row = denied.agg(*aggregates).first()
+    out = {n: sorted({*(row[f"q{i}"] or ()), *(x for x in (row[f"l{i}"], row[f"h{i}"]) if x is not None)}) for i, n in enumerate(names)}
+    few = [i for i in range(len(names)) if row[f"n{i}"] <= most]
+    if few:
+        sets = denied.agg(*[F.collect_set(inside[i]).alias(f"s{i}") for i in few]).first()
+        out |= {names[i]: sorted(sets[f"s{i}"]) for i in few}
+    return out, {names[i] for i in few}
+
+
+def _string_axes(df: DataFrame, columns: list[str], denied: Column, most: int) -> tuple[dict[str, list], set]:
+    """The values of denied rows, or the `most` with most signal of them; and the columns of which they are all."""
     if not columns:
-        return {}
-    long = unpivot(denied, columns).select("field", (F.round(F.col("value").cast("double") * 1000) / 1000).alias("t")).filter(F.col("t").isNotNull() & ~F.isnan("t")).distinct()
-    sizes = {r["field"]: r["count"] for r in long.groupBy("field").count().collect()}
-    few = [c for c in columns if sizes.get(c, 0) <= most]
+        return {}, set()
+    counts = unpivot(df, columns, denied.alias("_d")).filter(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count_if("_d").alias("d"), F.count_if(~F.col("_d")).alias("a"))
+    totals = counts.groupBy("field").agg(F.sum("d").alias("nd"), F.sum("a").alias("na"))
+    scored = counts.filter("d > 0").join(F.broadcast(totals), "field").withColumn("signal", gtest(F.col("d"), F.col("a"), F.col("nd"), F.col("na")))
+    nth = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("signal"), F.desc("d"), "value"))
     out: dict[str, list] = {c: [] for c in columns}
-    for r in long.filter(F.col("field").isin(few)).collect() if few else []:
-        out[r["field"]].append(r["t"])
-    many = [c for c in columns if c not in few]
-    if many:
-        shares = [(i + 1) / (most + 1) for i in range(most)]
-        row = denied.agg(*[F.percentile_approx(F.round(F.col(f"`{c}`").cast("double") * 1000) / 1000, shares, 10_000).alias(c) for c in many]).first()
-        out |= {c: row[c] for c in many}
-    return {c: sorted(set(v)) for c, v in out.items()}
+    for r in scored.withColumn("nth", nth).filter(F.col("nth") <= most + 1).collect():
+        out[r["field"]].append((r["nth"], r["value"]))
+    return {c: sorted(v for n, v in x if n <= most) for c, x in out.items()}, {c for c, x in out.items() if len(x) <= most}
 
 
-def _string_axes(denied: DataFrame, columns: list[str], most: int) -> dict[str, list]:
-    if not columns:
-        return {}
-    counts = unpivot(denied, columns).filter(F.col("value").isNotNull()).groupBy("field", "value").count()
-    out: dict[str, list] = {c: [] for c in columns}
-    for c in columns:
-        out[c] = sorted(r["value"] for r in counts.filter(F.col("field") == c).orderBy(F.desc("count"), "value").limit(most).collect())
-    return out
+def finer(df: DataFrame, denied: Column, missed: Column, cells: Cells, trees: list[dict], most: int = MOST_THRESHOLDS) -> tuple[dict[str, list], frozenset, dict[str, set]] | None:
+    """(axes, whole, the thresholds to keep) with every threshold that a rule uses closed in: those between its neighbours on
+    the axis come in, and those of denied rows that no rule hits; of strings the values of such rows. None if nothing is new.
+
+    `most` at a time: an edge among n different values is found exactly in about log(n) / log(most) rounds.
+    """
+    open_ = [c for c, k in cells.kinds.items() if k != "bool" and c not in cells.whole]
+    numbers, strings = [c for c in open_ if cells.kinds[c] == "number"], [c for c in open_ if cells.kinds[c] == "string"]
+    used = {c: {x["value"] for t in trees for x in expr.leaves(t) if x["feature"] == c and "value" in x} for c in numbers}
+    spans, ends = {}, {c: set() for c in numbers}
+    for c in numbers:
+        axis = cells.axes[c]
+        for t in sorted(used[c]):
+            i = axis.index(t)
+            for low, high in ((axis[i - 1] if i else None, t), (t, axis[i + 1] if i + 1 < len(axis) else None)):
+                spans[f"{c}|{low}|{high}"] = (c, low, high)
+                ends[c] |= {x for x in (low, high) if x is not None}
+    new, _ = _number_axes(df.filter(denied), spans, most)
+    missing, _ = _number_axes(df.filter(denied & missed), {c: (c, None, None) for c in numbers}, 64)
+    axes, keep = dict(cells.axes), {}
+    for c in numbers:
+        inner = {t for n, v in new.items() if spans[n][0] == c for t in v}
+        thin = cells.axes[c][:: max(1, len(cells.axes[c]) // 64)]
+        keep[c] = used[c] | ends[c] | inner
+        axes[c] = sorted({*thin, *keep[c], *missing.get(c, ())})
+    if strings:
+        values, _ = _string_axes(df.filter(missed | ~denied), strings, denied, most)
+        said = {c: {v for t in trees for x in expr.leaves(t) if x["feature"] == c for v in (x["value"] if isinstance(x["value"], list) else [x["value"]])} for c in strings}
+        axes |= {c: sorted({*said[c], *values[c]}) for c in strings}
+    if all(set(axes[c]) <= set(cells.axes[c]) for c in open_):
+        return None
+    return axes, cells.whole, keep
 
 
 @dataclass

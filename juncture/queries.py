@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from juncture.functions import scalars, text
 from juncture.operators import audit, compare, learn, metrics, mining
 from juncture.plans.compile import Engine, evaluate, near_misses
-from juncture.plans.expr import leaf
+from juncture.plans.expr import leaf, leaves
 from juncture.plans.policy import ActionPolicy, FanOut, Feature, Gate, Override, Rule, Stage, Staged
 from juncture.sources import readers
 from juncture.streaming import score
@@ -300,7 +300,7 @@ def stratified_split(spark, sf_dir):
     return metrics.stratified_split(docs, ["lang", "source"], F.col("doc_id").cast("string"), 0.8).select("doc_id", "is_train")
 
 
-@query("SELECT CASE WHEN f = 0 THEN CAST(item_id AS VARCHAR) WHEN f = 1 THEN item_id || '__second' ELSE item_id || '__third__dup2' END AS id, 'allow' AS expected_route FROM benchmark, (VALUES (0), (1), (2)) AS t(f)")
+@query("SELECT CASE WHEN f = 0 THEN CAST(item_id AS VARCHAR) WHEN f = 1 THEN item_id || '__second' ELSE item_id || '__third' END AS id, 'allow' AS expected_route FROM benchmark, (VALUES (0), (1), (2)) AS t(f)")
 def dedupe_case_ids(spark, sf_dir):
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("input"), F.lit("allow").alias("expected_route"))
     return readers.merge_cases([("first", cases), ("second", cases), ("third", cases)]).select("id", "expected_route")
@@ -340,31 +340,47 @@ def pattern_table(spark, sf_dir):
 _HIDDEN = "(l_quantity > 40 AND l_discount >= 0.07) OR l_tax > 0.07"
 
 
-@query(f"SELECT count(*) AS rows, count(*) FILTER (WHERE {_HIDDEN}) AS denied, count(*) FILTER (WHERE {_HIDDEN}) AS found, CAST(0 AS BIGINT) AS wrong FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_HIDDEN}")
 def learn_gate(spark, sf_dir):
+    """Lines that the learned gate denies."""
     rows = table(spark, sf_dir, "lineitem").withColumn("denied", F.expr(_HIDDEN))
     got = learn.learn_gate(rows, ["l_quantity", "l_discount", "l_tax", "l_returnflag"], F.col("denied"))
-    said = Engine(got.policy).transform(rows, "lenient")
-    return said.agg(F.count("*").alias("rows"), F.count_if("denied").alias("denied"), F.count_if(F.col("denied") & ~F.col("allow")).alias("found"), F.count_if(~F.col("denied") & ~F.col("allow")).alias("wrong"))
+    return Engine(got.policy).transform(rows, "lenient").filter("not allow").select("l_orderkey", "l_linenumber")
 
 
 _ROUTED = "CASE WHEN o_totalprice > 300000 THEN 'review' WHEN o_orderpriority = '1-URGENT' THEN 'expedite' ELSE 'hold' END"
 
 
-@query(f"SELECT {_ROUTED} AS expected, count(*) AS n, count(*) AS correct FROM orders GROUP BY 1")
+# the edges of the learned rules, which SQL finds as the extreme prices of each class
+@query(f"""SELECT expected, count(*) AS n, count(*) AS correct, CASE expected WHEN 'review' THEN min(o_totalprice) WHEN 'expedite' THEN max(o_totalprice) END AS edge
+FROM (SELECT {_ROUTED} AS expected, o_totalprice FROM orders) GROUP BY 1""")
 def learn_actions(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").withColumn("expected", F.expr(_ROUTED)).withColumn("o_totalprice", F.ceil(F.col("o_totalprice") / 10000) * 10000)
+    rows = table(spark, sf_dir, "orders").withColumn("expected", F.expr(_ROUTED))
     got = learn.learn_actions(rows, ["o_totalprice", "o_orderpriority", "o_orderstatus"], "expected")
-    said = evaluate(rows, got.policy, "lenient")
-    return said.groupBy("expected").agg(F.count("*").alias("n"), F.count_if(F.col("action") == F.col("expected")).alias("correct"))
+    edges = {r.action: x["value"] for r in got.policy.rules for x in leaves(r.when) if x["feature"] == "o_totalprice"}
+    said = evaluate(rows, got.policy, "lenient").groupBy("expected").agg(F.count("*").alias("n"), F.count_if(F.col("action") == F.col("expected")).alias("correct"))
+    edge = F.lit(None).cast("double")
+    for a, v in edges.items():
+        edge = F.when(F.col("expected") == a, F.lit(float(v))).otherwise(edge)
+    return said.withColumn("edge", edge)
 
 
-@query("SELECT count(*) AS rows, count(*) AS correct, 1.0::DOUBLE AS parity FROM events")
+_BAND = "(o_totalprice > 81234.5 AND o_totalprice < 154321.7 AND o_orderpriority IN ('1-URGENT', '2-HIGH')) OR o_totalprice > 321111.1"
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE {_BAND}")
+def learn_bands(spark, sf_dir):
+    """Orders that a gate learned from raw prices denies: conjunctions whose edges lie inside the column."""
+    rows = table(spark, sf_dir, "orders").withColumn("y", F.expr(_BAND))
+    got = learn.learn_gate(rows, ["o_totalprice", "o_orderpriority", "o_orderstatus"], F.col("y"))
+    return evaluate(rows, got.policy, "lenient").filter("not allow").select("o_orderkey")
+
+
+@query("SELECT event_id, concat_ws(',', CASE WHEN event_type IN ('purchase', 'signup') THEN 'bill' END, CASE WHEN value >= 60 THEN 'notify' END) AS actions FROM events")
 def learn_fanout(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("value", F.floor(F.col("value") / 10).cast("double")).withColumn("wanted", F.array_compact(F.array(F.when(F.col("value") >= 6, "notify"), F.when(F.col("event_type").isin("purchase", "signup"), "bill"))))
+    rows = table(spark, sf_dir, "events").withColumn("wanted", F.array_compact(F.array(F.when(F.col("value") >= 60, "notify"), F.when(F.col("event_type").isin("purchase", "signup"), "bill"))))
     got = learn.learn_fan_out(rows, ["value", "event_type"], "wanted")
-    said = evaluate(rows, got.policy, "lenient")
-    return metrics.parity(said, F.array_sort("wanted"), F.array_sort("actions"))
+    return evaluate(rows, got.policy, "lenient").select("event_id", F.array_join(F.array_sort("actions"), ",").alias("actions"))
 
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9_''\\-]+')"

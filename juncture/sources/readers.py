@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +93,21 @@ def select_features(df: DataFrame, label: str, only: list[str] | None = None, ex
     return out
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _n): the lines that aren't blank with their numbers in their file, from 1, however the file is divided among tasks.
+
+    Lines are numbered within each split of a file, and the splits' counts, a table of one row for each, are summed in order.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_f"), F.input_file_block_start().alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    from pyspark.sql.window import Window
+
+    splits = lines.groupBy("_f", "_b").agg(F.min("_m").alias("_least"), F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("_f", "_b", "_least", before.alias("_before"))
+    out = lines.join(F.broadcast(starts), ["_f", "_b"]).withColumn("_n", F.col("_m") - F.col("_least") + F.col("_before") + 1)
+    return out.filter(F.trim("value") != "").select("value", "_n")
+
+
 CASES = "id string, input string, expected_route string, category string"
 
 
@@ -108,7 +122,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_synthesis_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases with `prompt` in lower case, an id (`row_000001`... by line), and an optional features map."""
-    text = spark.read.text(path).filter(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id() + 1)
+    text = numbered_lines(spark, path)
     at = lambda p: F.get_json_object("value", p)
     return text.select(F.coalesce(at("$.id"), F.format_string("row_%06d", "_n")).alias("id"), F.lower(at("$.input.prompt")).alias("prompt"), at("$.expected_route").alias("expected_route"), F.from_json(at("$.features"), "map<string,string>").alias("features"))
 
@@ -141,21 +155,40 @@ class Adapter:
     marks: tuple[str, ...] = ()
 
 
-def adapt(df: DataFrame, a: Adapter) -> DataFrame:
+def adapt(df: DataFrame, a: Adapter, place: str | None = None) -> DataFrame:
     """Rows to (id, input, expected_route, category): the first prompt that is there, an id from a field or the row's place,
-    a fixed or labelled route; copied fields go into input, and static ones over them."""
+    a fixed or labelled route; copied fields go into input, and static ones over them.
+
+    `place` names a column of the row's number (`numbered_lines` makes one); without it rows are numbered in the order of a
+    hash of what they hold, so that the same rows get the same ids again.
+    """
     have = [p for p in a.prompts if p in df.columns]
     if not have:
         raise SourceError(f"none of {a.prompts} is a column")
     prompt = F.coalesce(*[F.nullif(F.trim(F.col(p).cast("string")), F.lit("")) for p in have])
     route = F.lit(a.route) if a.label is None else F.when(boolish(F.col(a.label), dict(df.dtypes)[a.label]), a.true_route).otherwise(a.false_route)
-    number = F.format_string("%06d", F.monotonically_increasing_id() + 1)
+    if place is None and not a.id_field:
+        df, place = _by_content(df), "_place"
+    number = F.format_string("%06d", F.col(place).cast("long")) if place else F.lit(None).cast("string")
+    if a.id_field:
+        number = F.coalesce(number, F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 16))
     name = F.coalesce(identifier(F.col(a.id_field).cast("string")), number) if a.id_field else number
     entries = [(k, F.lit(str(v))) for k, v in a.static.items()] + [(c, F.col(c).cast("string")) for c in a.copies if c not in a.static and c in df.columns]
     inputs = F.map_from_arrays(F.array(F.lit("prompt"), *[F.lit(k) for k, _ in entries]), F.array(prompt, *[v for _, v in entries]))
     return df.select(F.concat(F.lit(f"{a.id}_"), name).alias("id"), F.to_json(inputs).alias("input"), route.alias("expected_route"), (F.col(a.category).cast("string") if a.category else F.lit(a.id)).alias("category"))
 
 
+def _by_content(df: DataFrame) -> DataFrame:
+    """`df` with _place: 1 for the row of the least hash, and so on; counted within 4096 ranges of the hash and summed over them."""
+    from pyspark.sql.window import Window
+
+    hashed = df.withColumn("_h", F.sha2(F.to_json(F.struct(*df.columns)), 256)).withColumn("_r", F.substring("_h", 1, 3))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = hashed.groupBy("_r").agg(F.count("*").alias("_c")).select("_r", before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_r").orderBy("_h"))
+    return hashed.withColumn("_nth", nth).join(F.broadcast(starts), "_r").withColumn("_place", F.col("_before") + F.col("_nth")).drop("_h", "_r", "_nth", "_before")
+
+
 #: Profiles by the shape of their rows; the first whose marks are all there is taken.
 ADAPTERS = (
     Adapter("labelled_prompt", ("prompt", "text"), label="label", marks=("prompt", "label")),
@@ -235,14 +268,29 @@ def http_cases(normal: DataFrame, anomalous: DataFrame) -> DataFrame:
     for name, df, route in (("normal", normal, "allow"), ("anomalous", anomalous, "deny")):
         r = http_requests(df)
         parts.append(r.select(F.concat(F.lit(f"{name}_"), F.substring(F.sha2("raw_request", 256), 1, 16)).alias("id"), F.to_json(F.struct("method", "path", "headers", "query", "body")).alias("input"), F.lit(route).alias("expected_route"), F.lit(name).alias("category")))
-    return parts[0].unionByName(parts[1]).orderBy("id")
+    return parts[0].unionByName(parts[1])
+
+
+def read_http_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of a folder of request files: normal or anomalous by the file's name; files of neither are left out."""
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("_f", F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1)))
+    bad = F.col("_f").contains("anomal")
+    return http_cases(texts.filter(F.col("_f").contains("normal") & ~bad).select("value"), texts.filter(bad).select("value"))
+
+
+def read_audit_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Transactions of all audit logs below a folder; equal ids of two files stay apart."""
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return audit_transactions(texts)
 
 
 def audit_transactions(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(tx, request, meta): the B and H sections of audit logs whose sections begin with `--id-X--`."""
+    """(tx, request, meta, and every other column): the B and H sections of audit logs whose sections begin with `--id-X--`.
+    Transactions are told apart by all other columns as well, such as the file that a text comes from."""
+    rest = [c for c in texts.columns if c != column]
     parts = F.regexp_extract_all(F.concat(F.col(column), F.lit("\n")), F.lit(r"(?s)--([0-9a-zA-Z]+-[A-Z])--\n(.*?)(?=\n--[0-9a-zA-Z]+-[A-Z]--|\s*$)"), F.lit(0))
-    rows = texts.select(F.explode(parts).alias("s")).select(F.regexp_extract("s", r"^--([0-9a-zA-Z]+)-", 1).alias("tx"), F.regexp_extract("s", r"^--[0-9a-zA-Z]+-([A-Z])--", 1).alias("k"), F.trim(F.regexp_replace("s", r"^--[^\n]*\n", "")).alias("body"))
-    return rows.groupBy("tx").agg(F.max(F.when(F.col("k") == "B", F.col("body"))).alias("request"), F.max(F.when(F.col("k") == "H", F.col("body"))).alias("meta"))
+    rows = texts.select(*rest, F.explode(parts).alias("s")).select(*rest, F.regexp_extract("s", r"^--([0-9a-zA-Z]+)-", 1).alias("tx"), F.regexp_extract("s", r"^--[0-9a-zA-Z]+-([A-Z])--", 1).alias("k"), F.trim(F.regexp_replace("s", r"^--[^\n]*\n", "")).alias("body"))
+    return rows.groupBy(*rest, "tx").agg(F.max(F.when(F.col("k") == "B", F.col("body"))).alias("request"), F.max(F.when(F.col("k") == "H", F.col("body"))).alias("meta"))
 
 
 def render_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -252,17 +300,33 @@ def render_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     return listed.select(conversation, F.array_join(said, "\n\n").alias("prompt"))
 
 
-def merge_cases(parts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """All cases, ids told apart: the first keeps its id, the next gets `__source`, further ones `__dup2`, `__dup3`."""
+def merge_cases(parts: list[tuple[str, DataFrame]], rounds: int = 20) -> DataFrame:
+    """All cases, ids told apart: the first case of an id keeps it, others get `id__source`, and `__dup2`, `__dup3`... behind that
+    where it is taken, by another case of that source or by a case of that very id."""
     from pyspark.sql.window import Window
 
     rows = None
     for i, (name, df) in enumerate(parts):
         one = df.withColumns({"_source": F.lit(name), "_file": F.lit(i)})
         rows = one if rows is None else rows.unionByName(one)
-    order = Window.partitionBy("id").orderBy("_file", F.coalesce("input", F.lit("")))
-    n = F.row_number().over(order)
-    return rows.withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("id")).when(F.col("_n") == 2, F.concat("id", F.lit("__"), "_source")).otherwise(F.concat("id", F.lit("__"), "_source", F.lit("__dup"), (F.col("_n") - 1).cast("string")))).drop("_n", "_file", "_source")
+    order = F.struct("_file", F.coalesce("input", F.lit("")))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(order)) == 1
+    nth = F.row_number().over(Window.partitionBy("id", "_source").orderBy(order))
+    rows = rows.withColumn("_first", first)
+    # of one source's cases the first one of an id may have kept it
+    kept = F.max(F.col("_first").cast("int")).over(Window.partitionBy("id", "_source"))
+    rows = rows.withColumn("_k", F.when(F.col("_first"), 0).otherwise(nth - kept)).withColumn("_id", F.col("id"))
+    name = F.when(F.col("_k") == 0, F.col("_id")).when(F.col("_k") == 1, F.concat_ws("__", "_id", "_source")).otherwise(F.concat(F.concat_ws("__", "_id", "_source"), F.lit("__dup"), F.col("_k").cast("string")))
+    rows = rows.withColumn("id", name)
+    for _ in range(rounds):
+        taken = rows.groupBy("id").agg(F.count("*").alias("_n"), F.min("_k").alias("_least")).filter("_n > 1")
+        if taken.isEmpty():
+            break
+        # a made-up id gives way to an own one, and to one made of a shorter id
+        clash = rows.join(taken, "id", "left").withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("_k", F.length("_id"), order)))
+        moved = clash.withColumn("_k", F.when(F.col("_n").isNotNull() & (F.col("_nth") > 1) & (F.col("_k") > 0), F.greatest(F.col("_k") + 1, F.lit(2))).otherwise(F.col("_k")))
+        rows = moved.withColumn("id", name).drop("_n", "_least", "_nth")
+    return rows.drop("_first", "_k", "_id", "_file", "_source")
 
 
 def write_cases(df: DataFrame, path: str) -> None:
@@ -278,7 +342,15 @@ def write_traces(df: DataFrame, path: str, format: str | None = None) -> None:
     elif format == "jsonl":
         df.write.mode("overwrite").json(path)
     elif format == "json":
-        rows = [json.loads(r) for r in df.toJSON().collect()]
-        Path(path).write_text(json.dumps(rows, indent=1))
+        # one list in one text: written by one task, which holds a row at a time
+        def listed(rows: Iterator[Row]) -> Iterator[tuple[str]]:
+            before = "["
+            for row in rows:
+                yield (before + row["j"],)
+                before = ","
+            yield ("]" if before == "," else "[]",)
+
+        rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("j")).coalesce(1)
+        rows.rdd.mapPartitions(listed).toDF("value string").write.mode("overwrite").text(path)
     else:
         raise SourceError(f"unknown format {format!r}")
