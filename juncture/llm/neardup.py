@@ -260,15 +260,16 @@ def residual_links(members: DataFrame, reps: DataFrame, texts_of, percent: int,
 def groups(docs: DataFrame, percent: int) -> DataFrame:
     """_row, _id, n_shingles, root for every row of `docs` (_row, _id, text): rows of one root are linked, by way of others too.
 
-    Texts with equal sets are one representative, named by a hash of the set, so copies cost nothing beyond the first. Rows
-    without shingles have no root.
+    Texts with equal sets are one representative, so copies cost nothing beyond the first. Rows without shingles have no root.
     """
     sketched = cut(sketch(docs))
-    sets = sketched.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(F.struct(F.col("_row").alias("own"), "sig", "n_shingles")).alias("r"))
-    named = sets.select("set_key", F.xxhash64("set_key").alias("rep"), "r.own", "r.sig", "r.n_shingles")
-    # two sets of one name: the second gets another
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("set_key"))
-    reps = cut(named.withColumn("_nth", nth).withColumn("rep", F.when(F.col("_nth") > 1, F.xxhash64("set_key", "_nth")).otherwise(F.col("rep"))).drop("_nth"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("_row").alias("own"), "sig", "n_shingles")).alias("r")
+    sets = sketched.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(least).select("set_key", "r.*")
+    # named by its least id, so that a bucket's pivot is its earliest text; the second set of an id by a hash
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy("set_key"))
+    name = F.when(F.col("_id").isNotNull() & (F.col("_nth") == 1), F.col("_id")).otherwise(F.xxhash64("set_key"))
+    single = sets.filter("_id is not null").withColumn("_nth", nth).unionByName(sets.filter("_id is null").withColumn("_nth", F.lit(1)))
+    reps = cut(single.select("set_key", name.alias("rep"), "own", "sig", "n_shingles"))
     met = entries(reps)
     buckets = met.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     stars = cut(met.join(buckets.hint("shuffle_hash"), "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
