@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a new local one only if it names none."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where it names none, a new local one, but on a cluster
+    that is an error: other machines could not read it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if sc.getCheckpointDir() is None:
         named = named or tempfile.mkdtemp(prefix="checkpoints")
         sc.setCheckpointDir(named)
@@ -74,23 +78,24 @@ def uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def bounded_sample(df: DataFrame, stratum: Column, key: Column, n: int, most_strata: int = 64) -> DataFrame:
+def one_text_each(docs: DataFrame, ids: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, text): of each id in `ids` (doc_id and `keep`; a bounded sample) the non-null text of least hash, however many
+    rows share the id, so that what is learned from has no more rows than `ids`."""
+    found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids.select("doc_id", *keep)), "doc_id")
+    return found.groupBy("doc_id", *keep).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(*keep, "text")
+
+
+def bounded_sample(df: DataFrame, stratum: Column, key: Column, n: int, most_strata: int = 4096) -> DataFrame:
     """At most n rows of each stratum, the same on each run: those with the least uniform(key).
 
-    Rows with a null stratum take no part, nor do strata beyond the most_strata largest. Only (stratum, key) are read to
-    count; the rows are then filtered by one threshold for each stratum, and the exact cut is made on that small rest.
+    Rows with a null stratum take no part; more than most_strata strata are an error. Only (stratum, key) are read to
+    count; the rows are then filtered by a threshold for each stratum, and the exact cut is made on that small rest.
     """
     df = df.withColumn("_stratum", stratum.cast("string")).withColumn("_u", uniform(key)).filter(F.col("_stratum").isNotNull())
-    counts = df.groupBy("_stratum").count().orderBy(F.desc("count"), "_stratum").limit(most_strata).collect()
-    if not counts:
-        return df.filter(F.lit(False)).drop("_u")
-    threshold = F.lit(0.0)
-    for row in counts:
-        share = 1.0 if row["count"] <= n else min(1.0, (n + 6 * n**0.5) / row["count"])
-        threshold = F.when(F.col("_stratum") == row["_stratum"], share).otherwise(threshold)
-    few = df.filter(F.col("_u") < threshold)
-    parts = [few.filter(F.col("_stratum") == row["_stratum"]).orderBy("_u").limit(n) if row["count"] > n else few.filter(F.col("_stratum") == row["_stratum"]) for row in counts]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("_u")
+    counts = df.groupBy("_stratum").count()
+    if len(counts.limit(most_strata + 1).collect()) > most_strata:
+        raise ValueError(f"more than {most_strata} classes to learn")
+    chance = (F.lit(n) + 6 * n**0.5) / F.col("count")
+    few = df.join(F.broadcast(counts), "_stratum").filter((F.col("count") <= n) | (F.col("_u") < chance))
+    nth = F.row_number().over(Window.partitionBy("_stratum").orderBy("_u", key))
+    return few.withColumn("_nth", nth).filter(F.col("_nth") <= n).drop("_u", "_nth", "count")

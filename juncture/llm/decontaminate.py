@@ -1,9 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations alone.
 
-The index holds postings (document, position, term) of test terms. Terms are counted over the whole corpus; each window of
-each test item is looked up by its rarest term first, and only documents that a rarest term leaves over get the rest of
-their postings stored. Lists are intersected by offset: a posting at position p of the term at offset o of an item lies on
-the diagonal p - o, and a run of consecutive offsets on one diagonal is an exact phrase.
+One pass over the corpus tokenises it and stores its positional index, in the order of the documents: 64-bit hashes of the terms
+by position. Everything after that reads this table alone. Terms of test items are counted over all of it. Each window of each
+test item is looked up by the list of its rarest term, and a place on that list stays only if the lists of the next two rarest
+terms have it at their offsets; of the documents that are left over, the lists of all test terms are laid out (document,
+position, term) and intersected. A posting at position p of the term at offset o of an item lies on the diagonal p - o, and a
+run of consecutive offsets on one diagonal is an exact phrase.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from juncture.llm.common import ascii_lower, cut, of_rows, row_key
+from juncture.llm.common import ascii_lower, cut, of_rows, row_key, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -33,8 +35,7 @@ def _lead(pieces: Column) -> Column:
     return (F.get(pieces, F.lit(0)) == "").cast("int")
 
 
-def word_count(text: Column) -> Column:
-    pieces = _pieces(text)
+def word_count_of(pieces: Column) -> Column:
     return (F.size(pieces) - _lead(pieces) - ((F.size(pieces) > 1) & (F.get(pieces, F.size(pieces) - 1) == "")).cast("int")).cast("long")
 
 
@@ -64,29 +65,53 @@ def proximity_matches(index: DataFrame, key: str, queries: DataFrame, within: in
     return found.select("query_id", key, "pos").distinct()
 
 
-def phrase_hits(docs: DataFrame, key: str, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, item_id, start, stop): maximal runs of document words that spell `window` or more consecutive words of an item,
-    or all of an item that has fewer. items: (item_id, text)."""
+def numbered_terms(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((_item, item_id), (_item, off, tid, term, _n)) of items (item_id, text): each wordful text's terms with their numbers."""
     texts = items.filter(F.col("text").isNotNull()).select("item_id", F.xxhash64("item_id", "text").alias("_item"), "text").distinct()
-    words = postings(texts, "_item").withColumnRenamed("pos", "off")
-    ids = texts.select("_item", "item_id")
-    item_terms = cut(words.distinct().withColumn("_n", F.count("*").over(Window.partitionBy("_item"))))
-    counts = postings(docs, key, terms=item_terms).groupBy("term").agg(F.count("*").alias("_count"))
-    counted = item_terms.join(counts, "term", "left").withColumn("_count", F.coalesce("_count", F.lit(0)))
+    words = postings(texts, "_item").withColumnRenamed("pos", "off").distinct()
+    tids = words.select("term").distinct().withColumn("tid", F.xxhash64("term"))
+    words = words.join(tids, "term").withColumn("_n", F.count("*").over(Window.partitionBy("_item")))
+    return texts.select("_item", "item_id"), cut(words)
+
+
+def stored_index(docs: DataFrame, key: str, *keep: str) -> DataFrame:
+    """The index of `docs` as a table in the shared folder: (key, *keep, tids), the hashes of a text's words in their order."""
+    pieces = docs.select(key, *keep, _pieces(F.col("text")).alias("_pieces"))
+    words = F.slice("_pieces", _lead(F.col("_pieces")) + 1, word_count_of(F.col("_pieces")).cast("int"))
+    return stored(pieces.select(key, *keep, F.transform(words, lambda w: F.xxhash64(w)).alias("tids")))
+
+
+def _postings(index: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """(key, pos, tid): the lists of `terms` (column tid)."""
+    return index.select(key, F.posexplode("tids").alias("pos", "tid")).join(_bounded(terms.select("tid").distinct()), "tid", "left_semi")
+
+
+def phrases(index: DataFrame, key: str, ids: DataFrame, item_terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, item_id, start, stop): maximal runs of document words that spell `window` or more consecutive words of an item,
+    or all of an item that has fewer."""
+    counts = index.select(F.explode("tids").alias("tid")).join(_bounded(item_terms.select("tid").distinct()), "tid", "left_semi").groupBy("tid").agg(F.count("*").alias("_count"))
+    counted = item_terms.join(counts, "tid", "left").withColumn("_count", F.coalesce("_count", F.lit(0)))
     ahead = Window.partitionBy("_item").orderBy("off").rowsBetween(0, window - 1)
-    rarest = counted.withColumn("_terms", F.array_sort(F.collect_list(F.struct("_count", "off", "term")).over(ahead))).filter((F.col("off") <= F.col("_n") - F.least("_n", F.lit(window))) & (F.col("_terms")[0]["_count"] > 0))
-    # lists of the rarest term of each window; the next two are met at their offsets before a place counts
+    whole = F.col("off") <= F.col("_n") - F.least("_n", F.lit(window))
+    # a window with a term that the corpus lacks occurs nowhere
+    windows = counted.withColumn("_terms", F.array_sort(F.collect_list(F.struct("_count", "off", "tid")).over(ahead))).filter(whole & (F.col("_terms")[0]["_count"] > 0))
     nth = lambda i: F.get("_terms", F.least(F.size("_terms") - 1, F.lit(i)))
-    lists = [x for i in range(3) for x in (nth(i)["off"].alias(f"off{i}"), nth(i)["term"].alias(f"term{i}"))]
-    anchors = cut(rarest.select("_item", *lists).distinct())
-    there = lambda i: F.get("_pieces", F.col("_at") + F.col(f"off{i}") - F.col("off0")) == F.col(f"term{i}")
-    pieces = docs.select(key, _pieces(F.col("text")).alias("_pieces")).select(key, "_pieces", F.posexplode("_pieces").alias("_at", "term0"))
-    first = pieces.join(_bounded(anchors), "term0").filter(there(1) & there(2))
-    candidates = cut(first.select(key, "_item", (F.col("_at") - _lead(F.col("_pieces")) - F.col("off0")).alias("_diagonal")).distinct())
+    lists = cut(windows.select("_item", *[x for i in range(3) for x in (nth(i)["off"].alias(f"off{i}"), nth(i)["tid"].alias(f"tid{i}"))]).distinct())
+    diagonal = (F.col("pos") - F.col("off0")).alias("_diagonal")
+    if lists.count() <= MOST_BROADCAST:
+        there = lambda i: F.get("tids", F.col("pos") + F.col(f"off{i}") - F.col("off0")) == F.col(f"tid{i}")
+        at = index.select(key, "tids", F.posexplode("tids").alias("pos", "tid0")).join(F.broadcast(lists), "tid0")
+        found = at.filter(there(1) & there(2)).select(key, "_item", diagonal)
+    else:
+        found = _postings(index, key, lists.select(F.col("tid0").alias("tid"))).withColumnRenamed("tid", "tid0").join(lists, "tid0").select(key, "_item", diagonal, "off1", "tid1", "off2", "tid2")
+        for i in (1, 2):
+            other = _postings(index, key, lists.select(F.col(f"tid{i}").alias("tid"))).withColumnsRenamed({"tid": f"tid{i}", "pos": "_pos"})
+            found = found.withColumn("_pos", F.col("_diagonal") + F.col(f"off{i}")).join(other, [key, "_pos", f"tid{i}"], "left_semi").drop("_pos")
+    candidates = cut(found.select(key, "_item", "_diagonal").distinct())
     keys = candidates.select(key).distinct()
-    index = cut(postings(docs.join(F.broadcast(keys) if keys.count() <= 4 * MOST_BROADCAST else keys, key, "left_semi"), key, terms=item_terms))
-    expected = candidates.join(_bounded(item_terms), "_item").withColumn("pos", F.col("_diagonal") + F.col("off"))
-    same = expected.join(index, [key, "pos", "term"]).select(key, "_item", "_diagonal", "off", "_n").distinct()
+    own = cut(_postings(index.join(F.broadcast(keys) if keys.count() <= 4 * MOST_BROADCAST else keys, key, "left_semi"), key, item_terms).distinct())
+    expected = candidates.join(_bounded(item_terms.select("_item", "off", "tid", "_n")), "_item").withColumn("pos", F.col("_diagonal") + F.col("off"))
+    same = expected.join(own, [key, "pos", "tid"], "left_semi").select(key, "_item", "_diagonal", "off", "_n").distinct()
     on = Window.partitionBy(key, "_item", "_diagonal").orderBy("off")
     runs = same.withColumn("_run", F.col("off") - F.row_number().over(on)).groupBy(key, "_item", "_diagonal", "_run", "_n").agg(F.min("off").alias("_low"), F.count("*").alias("_len"))
     long = runs.filter(F.col("_len") >= F.least("_n", F.lit(window)))
@@ -98,18 +123,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     A null or empty text has no words and no hits; a null or wordless item never occurs. Texts are told apart by a 64-bit hash
     of (doc_id, text), so repeated rows get equal results each, rows that share a doc_id are judged by their own text, and a
-    null doc_id is no hindrance. An item_id with several texts counts once.
+    null doc_id is no hindrance. An item_id with several texts counts once. A text of any length is indexed whole.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_doc"))
-    hits = cut(phrase_hits(keyed.filter(F.col("text").isNotNull()), "_doc", items, window).select("_doc", "item_id", "start", "stop").distinct())
+    ids, terms = numbered_terms(items)
+    index = stored_index(docs.select("doc_id", "text", row_key(docs).alias("_doc")), "_doc", "doc_id")
+    hits = cut(phrases(index, "_doc", ids, terms, window).select("_doc", "item_id", "start", "stop").distinct())
     in_order = Window.partitionBy("_doc").orderBy("start", "stop")
     before = F.coalesce(F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = hits.select("_doc", "start", "stop").distinct().withColumn("_new", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", before)))
     covered = spans.groupBy("_doc").agg(F.sum("_new").cast("long").alias("n_hit"))
     named = hits.groupBy("_doc").agg(F.collect_set(F.col("item_id").cast("string")).alias("_ids"))
     found = covered.join(named, "_doc", "left")
-    counted = keyed.select("doc_id", "_doc", word_count(F.col("text")).alias("n_words"))
     none = F.array().cast("array<string>")
+    counted = index.select("doc_id", "_doc", F.size("tids").cast("long").alias("n_words"))
     out = counted.join(found, "_doc", "left").withColumn("_ids", F.coalesce("_ids", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
     return out.select("doc_id", "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_ids"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -117,7 +143,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` without any hit, with all their columns; a null doc_id or a shared one is no hindrance."""
     keyed = docs.withColumn("_row", row_key(docs))
-    hits = phrase_hits(keyed.filter(F.col("text").isNotNull()).select("_row", "text"), "_row", items, window)
+    ids, terms = numbered_terms(items)
+    hits = phrases(stored_index(keyed.filter(F.col("text").isNotNull()).select("_row", "text"), "_row"), "_row", ids, terms, window)
     return of_rows(keyed, cut(hits.select("_row").distinct()), "left_anti").select(*docs.columns)
 
 

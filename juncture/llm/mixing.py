@@ -8,10 +8,12 @@ executors. Rates start at 1 and move as little as the targets allow.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juncture.llm.common import bounded_sample, cut, uniform
+from juncture.llm.common import bounded_sample, cut, one_text_each, uniform
 from juncture.llm.decontaminate import _lead, _pieces
 
 #: Runs of ASCII signs; what lies between them.
@@ -23,14 +25,27 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
 
 
-def terms(docs: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, tokens, term): the distinct words of each text, its distinct runs of signs, how often words repeat (`#r` and a
-    twentieth), and one `#doc` for each row."""
-    words = docs.select(*keep, "text", _pieces(F.col("text")).alias("_w")).withColumn("_w", F.when(_lead(F.col("_w")) == 1, F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0)))).otherwise(F.col("_w")))
-    sized = words.withColumn("tokens", (F.size("_w") - F.coalesce((F.element_at(F.when(F.size("_w") > 0, F.col("_w")), -1) == "").cast("int"), F.lit(0))).cast("long")).withColumn("_d", F.array_distinct("_w"))
-    repeats = F.when(F.col("tokens") >= 20, F.concat(F.lit("#r"), F.floor(F.size("_d") * 20 / F.col("tokens")).cast("string"))).otherwise("#r")
-    signs = F.array_distinct(F.split(F.coalesce(F.col("text"), F.lit("")), _BETWEEN))
-    return sized.select(*keep, "tokens", F.explode(F.concat(F.array(F.lit("#doc"), repeats), F.col("_d"), signs)).alias("term")).filter("term <> ''")
+def _words(docs: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, _text, _w, tokens, _r): the words of each text, their number, and how often they repeat (`#r` and a twentieth)."""
+    pieces = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_w", _pieces(F.col("_text")))
+    last = F.get("_w", F.size("_w") - 1)
+    tokens = F.size("_w") - _lead(F.col("_w")) - ((F.size("_w") > 1) & (last == "")).cast("int")
+    sized = pieces.withColumn("tokens", tokens.cast("long"))
+    unlike = F.size(F.array_distinct(F.filter("_w", lambda w: w != "")))
+    return sized.withColumn("_r", F.when(F.col("tokens") >= 20, F.concat(F.lit("#r"), F.floor(unlike * 20 / F.col("tokens")).cast("string"))).otherwise("#r"))
+
+
+def terms(docs: DataFrame, *keep: str, known: list[str] | None = None) -> DataFrame:
+    """(*keep, tokens, term): the distinct words of each text, its distinct runs of signs, how often words repeat, and one `#doc`
+    for each row; with `known` none but these, picked out of the word array before it is unfolded."""
+    words = _words(docs, *keep)
+    signs = F.split("_text", _BETWEEN)
+    if known is None:
+        found = F.concat(F.array_distinct("_w"), F.array_distinct(signs))
+    else:
+        listed = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
+        found = F.concat(F.array_intersect("_w", listed), F.array_intersect(signs, listed))
+    return words.select(*keep, "tokens", F.explode(F.concat(F.array(F.lit("#doc"), F.col("_r")), found)).alias("term")).filter("term <> ''")
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], a_domain: int = 1500, most_terms: int = 400, least_docs: int = 6, least_lift: float = 2.0, least_chi: float = 20.0) -> DataFrame:
@@ -43,7 +58,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], a_domain: int
     prior = {r["_domain"]: r["count"] for r in named.groupBy("_domain").count().collect()}
     total = sum(prior.values())
     few = bounded_sample(named, F.col("_domain"), F.col("doc_id"), a_domain).select("doc_id", "_domain")
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    sample = one_text_each(docs, few, "_domain")
     by_term = terms(sample, "_domain").groupBy("term").agg(*[F.sum((F.col("_domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
     by_term = cut(by_term)
     row = by_term.filter("term = '#doc'").first()
@@ -64,19 +79,25 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], a_domain: int
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
     """(doc_id, _doc, tokens, p_<domain>...): one row for each distinct (doc_id, text). The model table is broadcast: `train` bounds it."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_doc"))
-    sums = terms(keyed, "doc_id", "_doc").join(F.broadcast(model), "term").groupBy("_doc", "doc_id").agg(F.max("tokens").alias("tokens"), F.count_if(F.col("term") == "#doc").alias("_rows"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(domains))])
+    known = sorted(r["term"] for r in model.select("term").collect() if not r["term"].startswith("#"))
+    sums = terms(keyed, "doc_id", "_doc", known=known).join(F.broadcast(model), "term").groupBy("_doc", "doc_id").agg(F.max("tokens").alias("tokens"), F.count_if(F.col("term") == "#doc").alias("_rows"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(domains))])
     most = F.greatest(*[F.col(f"s{i}") for i in range(len(domains))], F.lit(float("-inf"))) / F.col("_rows")
     weights = [F.exp(F.col(f"s{i}") / F.col("_rows") - most) for i in range(len(domains))]
     whole = sum(weights[1:], weights[0])
     return sums.select("doc_id", "_doc", "tokens", "_rows", *[(w / whole).alias(f"p_{d}") for w, d in zip(weights, domains, strict=True)])
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 60, tolerance: float = 1e-8, reference: str | None = None) -> DataFrame:
+class Unmet(UserWarning):
+    """Targets that no rates can meet: a domain has too little mass."""
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 200, tolerance: float = 1e-8, reference: str | None = None) -> DataFrame:
     """`members` (tokens, _rows, p_<domain>...) with `rate` added, so that sum(rate * tokens * p_d) is near target d.
 
     Targets are shares of a total: the corpus's tokens, or, with `reference`, the total at which that domain keeps its own
     tokens (so its documents' rates stay near 1). A domain without any mass cannot be met and stays at its least squares.
-    Squares are divided by the domain's mass, so that no curvature exceeds 1 and steps of size 1 go down.
+    Squares are divided by the domain's mass, so that no curvature exceeds 1 and steps of size 1 go down. It goes on until the
+    sum of squares falls no more; a share that then differs from its target by over a hundredth of it is told by a warning.
     """
     weight = sum(targets.values())
     share = {d: t / weight for d, t in targets.items()}
@@ -100,6 +121,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 6
             x = F.col("_x")
         now = members.agg(*[F.sum(mass * F.col(f"p_{d}") * x).alias(d) for d in share]).first()
         got = {d: float(now[d] or 0) for d in share}
+    unmet = {d: round(got[d] / total, 6) for d in share if abs(got[d] / total - share[d]) > 0.01 * share[d]}
+    if unmet:
+        warnings.warn(f"targets {share} are not met: {unmet}", Unmet, stacklevel=2)
     return members.withColumn("rate", x).drop("_x")
 
 
@@ -116,16 +140,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], referen
     return fitted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).select("doc_id", "tokens", *[f"p_{d}" for d in domains], "rate")
 
 
-def copies(rate: Column, key: Column, slack: float = 0.05) -> Column:
-    """How often a document is taken: its rate rounded up or down by a hash, so that sums hold in expectation. A rate within
-    `slack` of a whole number other than 0 is that number."""
-    whole = F.round(rate)
-    drawn = F.floor(rate + uniform(key, F.lit("mix")))
-    return F.when((F.abs(rate - whole) <= slack) & (whole > 0), whole).otherwise(drawn).cast("int")
+def copies(rate: Column, key: Column) -> Column:
+    """How often a document is taken: its rate rounded up or down by a hash, so that sums hold in expectation."""
+    return F.floor(rate + uniform(key, F.lit("mix"))).cast("int")
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], reference: str | None = None) -> DataFrame:
-    """The rows of `docs`, each as often as its rate asks for. Columns stay as they are."""
+    """The rows of `docs`, each as often as its rate asks for: the rate rounded up or down by a hash of (doc_id, text), so the
+    targets hold in expectation. Columns stay as they are."""
     domains = list(targets)
     members = cut(posteriors(docs, train(docs, labels, domains), domains))
     fitted = fit_rates(members, targets, reference=reference).select("_doc", copies(F.col("rate"), F.col("_doc")).alias("_copies"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from juncture.llm.common import bounded_sample, fold
+from juncture.llm.common import bounded_sample, fold, one_text_each, small_batches
 
 _WORD = re.compile(r"\w+")
 
@@ -103,10 +103,9 @@ def train(docs: DataFrame, labelled: DataFrame, label: str, most: int = 3000, mo
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     prior = min(max(toxic / n if n else 0.0, 1e-3), 0.5)
     chosen = bounded_sample(known.filter("_y = 1"), F.lit("toxic"), F.col("doc_id"), most).select("doc_id", F.lit(1).alias("_y"))
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    positive = texts.join(F.broadcast(chosen), "doc_id").select("_y", "doc_id", "text")
-    ids = bounded_sample(docs.select("doc_id"), F.lit("any"), F.col("doc_id"), most_unlabelled).select("doc_id", F.lit(0).alias("_y"))
-    drawn = texts.join(F.broadcast(ids.distinct()), "doc_id").select("_y", "doc_id", "text")
+    positive = one_text_each(docs, chosen, "_y")
+    ids = bounded_sample(docs.select("doc_id").filter("doc_id is not null"), F.lit("any"), F.col("doc_id"), most_unlabelled).select("doc_id", F.lit(0).alias("_y"))
+    drawn = one_text_each(docs, ids.distinct(), "_y")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,6 +120,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str, most: int = 3000, mo
 
 def score_documents(docs: DataFrame, model: Linear) -> DataFrame:
     """The columns of `docs` with `score` added (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "score"]
     at = keep.index("text")

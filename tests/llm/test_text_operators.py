@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from juncture.llm import decontaminate, language, lines, mixing, neardup, neighbours, quality, shard, toxicity, urls
+from juncture.llm.words import blocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -162,7 +163,7 @@ def brute_contamination(rows, items):
     return sorted(out, key=str)
 
 
-def test_contamination_matches_brute_force(spark):
+def test_contamination_matches_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     common = words(rng, 12, "ab")
     item = [rng.choice(common) for _ in range(25)]
@@ -170,8 +171,11 @@ def test_contamination_matches_brute_force(spark):
     rows = [(i, " ".join(rng.choice(common) for _ in range(60))) for i in range(15)]
     rows += [(20, "..." + " ".join(item).upper() + "!"), (21, " ".join(item[:9])), (22, " ".join(item[:10]) + " x " + " ".join(item[12:24])), (23, None), (24, ""), (25, "a short item, SHORT-ITEM"), (26, "É é the " * 9), (None, " ".join(item)), (20, "no"), (22, " ".join(item[:10]) + " x " + " ".join(item[12:24]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("term", F.lit("a"))
-    got = sorted((tuple(r) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()), key=str)
-    assert got == brute_contamination(rows, items)
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        got = sorted((tuple(r) for r in decontaminate.contamination(docs, frame).collect()), key=str)
+        assert got == brute_contamination(rows, items)
 
 
 def test_contamination_of_and_by_nothing(spark, empty, docs):
@@ -509,7 +513,7 @@ def test_rates_match_dense_projected_gradient(spark):
     tokens = rng.integers(1, 100, 40)
     share = {"a": 0.97, "b": 0.02, "c": 0.01}
     df = spark.createDataFrame([(i, int(t), 1, *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "i long, tokens long, _rows long, p_a double, p_b double, p_c double")
-    got = {r.i: r.rate for r in mixing.fit_rates(df, share).collect()}
+    got = {r.i: r.rate for r in mixing.fit_rates(df, share, most_steps=60).collect()}
     total, x, t = tokens.sum(), np.ones(40), np.array(list(share.values()))
     mass = (p * tokens[:, None]).sum(axis=0) / total
     scale = np.maximum(mass, 1e-3 * t)
@@ -519,10 +523,148 @@ def test_rates_match_dense_projected_gradient(spark):
     assert np.allclose([got[i] for i in range(40)], x, atol=1e-4)
 
 
-def test_resample_takes_whole_rates(spark, docs, labels):
+def test_resampled_totals_meet_the_targets(spark, docs, labels):
     docs = docs.filter("doc_id < 1000")  # without the one text that holds most tokens
-    out = mixing.resample(docs, labels, {"clean": 0.98, "toxic": 0.02}, reference="clean")
+    targets = {"clean": 0.6, "toxic": 0.4}
+    rates = {r.doc_id: r for r in mixing.mixed(docs, labels, targets, reference="clean").collect()}
+    out = mixing.resample(docs, labels, targets, reference="clean")
     assert out.columns == docs.columns
-    kept = {r.doc_id for r in out.select("doc_id").collect()}
-    clean = {i for i in range(120) if i % 5}
-    assert len(clean & kept) >= 0.9 * len(clean) and len({i for i in range(0, 120, 5)} & kept) < 12
+    times = defaultdict(int)
+    for r in out.select("doc_id").collect():
+        times[r.doc_id] += 1
+    assert all(np.floor(r.rate) <= times[i] <= np.ceil(r.rate) for i, r in rates.items())
+    for d in targets:
+        wanted = sum(r.tokens * r.rate * r[f"p_{d}"] for r in rates.values())
+        spread = sum((r.tokens * r[f"p_{d}"]) ** 2 * (r.rate % 1) * (1 - r.rate % 1) for r in rates.values()) ** 0.5
+        assert abs(sum(r.tokens * times[i] * r[f"p_{d}"] for i, r in rates.items()) - wanted) <= 4 * spread + 1
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    df = spark.createDataFrame([(1, 10, 1, 1.0, 0.0), (2, 20, 1, 1.0, 0.0)], "i long, tokens long, _rows long, p_a double, p_b double")
+    with pytest.warns(mixing.Unmet):
+        mixing.fit_rates(df, {"a": 0.5, "b": 0.5})
+
+
+def test_posteriors_match_naive_bayes(spark, docs, labels, rows):
+    """The classifier, counted again in Python from the model's own terms."""
+    domains = ["clean", "junk", "toxic"]
+    model = mixing.train(docs, labels, domains)
+    weights = {r.term: np.array(r.w) for r in model.collect()}
+    got = {(r.doc_id, r.tokens): r for r in mixing.posteriors(docs, model, domains).collect()}
+    for i, text, *_ in rows:
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        have = set(w) | {x for x in re.split(r"[^!-/:-@\[-`{-~]+", text or "") if x} | {"#doc", f"#r{len(set(w)) * 20 // len(w)}" if len(w) >= 20 else "#r"}
+        total = sum((weights[t] for t in have if t in weights), np.zeros(3))
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        r = got[(i, len(w))]
+        assert np.allclose([r.p_clean, r.p_junk, r.p_toxic], p)
+    assert len(weights) > 3
+
+
+def test_the_vote_matches_brute_force():
+    rng = np.random.default_rng(7)
+    made = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(made, rng.integers(3, 30))) + ("!?" * int(i % 2)) for i in range(90)]
+    vocabulary = np.unique(np.concatenate([b.word for b in blocks(pa.array(texts[:20]))]))
+    x = quality.features(pa.array(texts), vocabulary)
+    assert x[:, quality.PLAIN - 1].tolist() == [len(t.split()) for t in texts]
+    assert x[:, quality.PLAIN - 2].tolist() == [len(t.split()) - len(set(t.split())) for t in texts]
+    assert x[:, quality.PLAIN - 3].tolist() == [sum(a == b for a, b in zip(t.split(), t.split()[1:])) for t in texts]
+    model = quality.Neighbours.fit(x[:60], np.arange(60) % 2, vocabulary, rank=20, k=7)
+    got = model.score(x, block=13)
+    v = model.weigh(x) @ model.projection
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(len(x)):
+        cosine = model.vectors @ v[i]
+        near = sorted(range(60), key=lambda j: (-cosine[j], j))[:7]
+        weight = np.maximum(cosine[near].astype("float64"), 0) ** 4
+        assert abs(got[i] - (weight * (np.array(near) % 2)).sum() / weight.sum()) < 1e-4
+    cosine = np.array([[1.0, 0.5, 0.5, 0.5, 0.2]])
+    assert sorted(quality.nearest(cosine, 2)[0]) == [0, 1]
+
+
+def test_words_alone_can_be_learned(spark):
+    """Two classes whose texts differ in their vocabulary and in no sign, length or repeat."""
+    rng = random.Random(3)
+    good, bad = (sorted({"".join(rng.choice("aeiou") if k % 2 else rng.choice("bcdfgh") for k in range(6)) for _ in range(50)}) for _ in range(2))
+    rows = [(i, " ".join(rng.sample(good if i % 2 else bad, 12))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    held = [r for r in quality.quality_of_documents(docs, labels).collect() if r.held_out]
+    assert len(held) > 60 and sum(r.predicted == r.doc_id % 2 for r in held) >= 0.95 * len(held)
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (1, None), (2, "e f"), (None, "g")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, _y int")
+    from juncture.llm.common import bounded_sample, one_text_each
+
+    got = one_text_each(docs, ids, "_y").collect()
+    assert sorted(r._y for r in got) == [0, 1] and all(r.text for r in got)
+    many = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("s"))
+    counts = {r._stratum: r["count"] for r in bounded_sample(many, F.col("s"), F.col("k"), 20).groupBy("_stratum").count().collect()}
+    assert counts == {"0": 20, "1": 20, "2": 20}
+
+
+def test_risk_gradient_matches_finite_differences():
+    """The steps of `fit` follow the non-negative risk: at its end no small move of a used weight or the bias lowers it much."""
+    rng = np.random.default_rng(9)
+    positive = [np.unique(np.append(rng.integers(8, 16, 3), rng.integers(0, 4, 2))) for _ in range(80)]
+    unlabelled = [np.unique(rng.integers(4, 16, 5)) for _ in range(300)] + [np.unique(np.append(rng.integers(8, 16, 3), rng.integers(0, 4, 2))) for _ in range(40)]
+    prior, decay = 0.12, 3e-5
+    model = toxicity.fit(positive, unlabelled, prior, 4, steps=3000, rate=0.02)
+
+    def risk(w, b):
+        p = np.array([b + w[t].sum() for t in positive])
+        u = np.array([b + w[t].sum() for t in unlabelled])
+        negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+        return prior * np.logaddexp(0, -p).mean() + max(0.0, negative) + decay * w.sum(), negative
+
+    w, b = model.weights.astype("float64"), model.bias
+    assert set(np.flatnonzero(w)) <= {0, 1, 2, 3} and (w > 0).any()
+    at, negative = risk(w, b)
+    plain = risk(np.zeros_like(w), -2.0)[0]
+    assert at < plain
+    if negative > 1e-3:
+        for i in np.flatnonzero(w):
+            for step in (-1e-2, 1e-2):
+                moved = w.copy()
+                moved[i] = max(0, moved[i] + step)
+                assert risk(moved, b)[0] > at - 1e-4
+        for step in (-1e-2, 1e-2):
+            assert risk(w, b + step)[0] > at - 1e-4
+
+
+def test_shards_are_where_sorting_puts_them(spark):
+    """Every row against a placement by plain sorting."""
+    rng = random.Random(14)
+    rows = [(i, None if i % 50 == 0 else "x" * rng.randint(0, 300) if i % 3 else "the same text") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r.doc_id: r.k for r in frame.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("k")).collect()}
+    least = -(1 << 63)
+    order = sorted(rows, key=lambda r: (least if key[r[0]] is None else key[r[0]], r[0]))
+    total, before, slots, expected = sum(len((t or "").encode()) + 1 for _, t in rows), 0, defaultdict(int), {}
+    for i, t in order:
+        size = len((t or "").encode()) + 1
+        at = min(int((before + size / 2) * 7 // total), 6)
+        expected[i] = (at, slots[at])
+        slots[at] += 1
+        before += size
+    assert {r.doc_id: (r.shard, r.slot) for r in shard.shard_documents(frame, 7).collect()} == expected
+
+
+@pytest.mark.parametrize("run", ["mixing", "neighbours", "language", "toxicity", "quality"])
+def test_clashing_names(spark, docs, labels, run):
+    extra = docs.limit(40)
+    for c in ("_doc", "term", "tokens", "rate", "_y", "word", "label", "leaf", "cell", "score", "_stratum", "_row", "held_out"):
+        extra = extra.withColumn(c, F.lit("clash"))
+    if run == "neighbours":
+        vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+        for c in ("rid", "v", "q", "leaf", "cell", "block", "ids", "_q"):
+            vectors = vectors.withColumn(c, F.lit("clash"))
+        assert neighbours.nearest(vectors, F.col("vec_id") % 20 == 0).count() == 60
+        return
+    got = {"mixing": lambda: mixing.mixed(extra, labels.withColumn("_domain", F.lit(1)), {"clean": 0.5, "toxic": 0.5}), "language": lambda: language.languages_of_documents(extra), "toxicity": lambda: toxicity.toxicity_of_documents(extra, labels.withColumn("_y", F.lit(1))), "quality": lambda: quality.quality_of_documents(extra, labels.withColumn("_y", F.lit(1)))}[run]()
+    assert got.count() == 40
