@@ -43,7 +43,7 @@ def features(column: pa.Array, vocabulary: np.ndarray) -> np.ndarray:
         word, row = block.word, np.repeat(block.row, np.diff(block.start))
         if not len(word):
             continue
-        np.add.at(out[:, -1 - len(vocabulary)], row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])], 1)
+        np.add.at(out[:, PLAIN - 3], row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])], 1)
         order = np.lexsort((word, row))
         again = (word[order][1:] == word[order][:-1]) & (row[order][1:] == row[order][:-1])
         np.add.at(out[:, PLAIN - 2], row[order][1:][again], 1)
@@ -75,7 +75,7 @@ class Neighbours:
         return np.concatenate([norm(x[:, :PLAIN]), self.words * norm(x[:, PLAIN:])], axis=1)
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, rank: int = 64, k: int = 15, words: float = 0.5) -> Neighbours:
+    def fit(cls, x: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, rank: int = 48, k: int = 15, words: float = 0.3) -> Neighbours:
         if not len(x):
             return cls(vocabulary, np.ones(PLAIN + len(vocabulary), "float32"), np.zeros((PLAIN + len(vocabulary), 1), "float32"), np.zeros((0, 1), "float32"), labels, k, 0.5, words)
         df = (x > 0).sum(axis=0)
