@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from juncture.functions.scalars import row_hash
 from juncture.plans import expr
-from juncture.plans.compile import Compiler, gate_columns, interpret_mask, near_misses
-from juncture.plans.policy import Gate
+from juncture.plans.compile import Compiler, action_columns, gate_columns, interpret_mask, near_misses
+from juncture.plans.policy import ActionPolicy, Gate, Rule
 
 RULES = "rule_id string, bit int, signature string, meta string"
 
@@ -30,6 +30,37 @@ def conflicts(df: DataFrame, gate: Gate, denied: Column) -> DataFrame:
     return wrong.select(*names, row_hash(names).alias("row_hash"), "expected", "predicted", "matched_rules", F.when(F.col("expected"), F.col("near_misses")).alias("near_misses"))
 
 
+def action_conflicts(df: DataFrame, policy: ActionPolicy, action: str) -> DataFrame:
+    """The rows where an action policy and the label differ: the features, row_hash, expected, predicted, candidates, matched_rules."""
+    names = [f.name for f in policy.features if not f.derived]
+    got = action_columns(policy, "lenient")
+    said = df.withColumns({"expected": F.col(action), "predicted": got["action"], "candidates": got["candidate_actions"], "matched_rules": got["matched_rules"]})
+    wrong = said.filter(~F.col("expected").eqNullSafe(F.col("predicted")))
+    return wrong.select(*names, row_hash(names).alias("row_hash"), "expected", "predicted", "candidates", "matched_rules")
+
+
+def validate_probes(df: DataFrame, gate: Gate, denied: Column, probes: dict[str, dict]) -> DataFrame:
+    """probe, matched, fixed (denied rows that the gate misses), introduced (rows that are rightly allowed now), safe (fixes two
+    or more and introduces none), for each predicate that might be added to a gate. One pass, whatever the number of probes."""
+    c = Compiler(gate.features, "lenient")
+    hit = c.tree(expr.union([r.when for r in gate.rules])) if gate.rules else F.lit(False)
+    wanted = F.coalesce(denied, F.lit(False))
+    aggregates = []
+    for i, t in enumerate(probes.values()):
+        m = c.tree(t)
+        aggregates += [F.count_if(m).alias(f"m{i}"), F.count_if(m & wanted & ~hit).alias(f"f{i}"), F.count_if(m & ~wanted & ~hit).alias(f"i{i}")]
+    rows = F.array(*[F.struct(F.lit(n).alias("probe"), F.col(f"m{i}").alias("matched"), F.col(f"f{i}").alias("fixed"), F.col(f"i{i}").alias("introduced")) for i, n in enumerate(probes)])
+    return df.agg(*aggregates).select(F.explode(rows).alias("x")).select("x.*").withColumn("safe", (F.col("fixed") >= 2) & (F.col("introduced") == 0))
+
+
+def adopt(gate: Gate, validated: DataFrame, probes: dict[str, dict]) -> Gate:
+    """The gate with the safe probes as rules auto_proposal_001, ..., most fixed rows first."""
+    safe = [r["probe"] for r in validated.filter("safe").orderBy(F.desc("fixed"), "probe").collect()]
+    first = max((r.bit for r in gate.rules), default=-1) + 1
+    more = tuple(Rule(f"auto_proposal_{i + 1:03d}", probes[n], first + i, label=expr.label(probes[n])) for i, n in enumerate(safe))
+    return Gate(gate.id, gate.features, (*gate.rules, *more)).validate()
+
+
 def boundary_probes(spark: SparkSession, gate: Gate, baseline: dict[str, Any]) -> DataFrame:
     """Rows at a threshold and one to either side of it, for each rule of one number, over a baseline row; with the gate's mask."""
     rows = []
@@ -61,8 +92,16 @@ def cross_check(df: DataFrame, gate: Gate) -> DataFrame:
     return both.agg(F.count("*").alias("rows"), F.count_if(F.col("compiled") == F.col("interpreted")).alias("agreed"))
 
 
-def rule_table(spark: SparkSession, gate: Gate) -> DataFrame:
-    return spark.createDataFrame([(r.id, r.bit, expr.signature(r.when), expr.key({"l": r.label, "m": r.message, "s": r.severity})) for r in gate.rules], RULES)
+def rule_table(spark: SparkSession, policy: Gate | ActionPolicy) -> DataFrame:
+    """The rules of a gate or an action policy; of the latter the action belongs to what a rule means, priority to its place and
+    weight to its metadata."""
+    action = policy.kind == "action"
+    rows = []
+    for r in policy.rules:
+        means = f"{r.action}|{expr.signature(r.when)}" if action else expr.signature(r.when)
+        about = {"l": r.label, "m": r.message, "s": r.severity} | ({"w": r.weight} if action else {})
+        rows.append((r.id, r.priority if action else r.bit, means, expr.key(about)))
+    return spark.createDataFrame(rows, RULES)
 
 
 def rule_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -262,23 +262,38 @@ def _staged(df: DataFrame, policy: Staged, mode: str) -> DataFrame:
 
 
 def near_misses(df: DataFrame, gate: Gate, most_rules: int = 3, most_unmet: int = 8) -> DataFrame:
-    """`df` with near_misses: of the rules that don't fire, those with the fewest unmet comparisons (then by bit)."""
+    """`df` with near_misses: of the rules that don't fire, those with the fewest unmet comparisons (then by bit). Rules are
+    chosen by whole numbers; what is unmet is written out for the chosen ones alone."""
     c = Compiler(gate.features, "lenient")
+    none = F.array().cast("array<string>")
+
+    def count(x: dict) -> Column:
+        if "all" in x:
+            return reduce(lambda a, b: a + b, map(count, x["all"]))
+        if "any" in x:
+            return F.when(c.tree(x), 0).otherwise(reduce(lambda a, b: a + b, map(count, x["any"])))
+        return F.lit(0) if "not" in x else F.when(c.leaf(x), 0).otherwise(1)
 
     def unmet(x: dict) -> Column:
         if "all" in x:
             return F.concat(*map(unmet, x["all"]))
         if "any" in x:
-            return F.when(c.tree(x), F.array().cast("array<string>")).otherwise(F.concat(*map(unmet, x["any"])))
-        if "not" in x:
-            return F.array().cast("array<string>")
-        return F.when(c.leaf(x), F.array().cast("array<string>")).otherwise(F.array(F.lit(expr.label(x))))
-
-    rows = []
-    for r in gate.rules:
-        missing = unmet(r.when)
-        rows.append(F.when(~c.tree(r.when), F.struct(F.size(missing).alias("n_unmet"), F.lit(r.bit).alias("bit"), F.lit(r.id).alias("rule"), F.slice(missing, 1, most_unmet).alias("unmet"))))
-    return df.withColumn("near_misses", F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, most_rules))
+            return F.when(c.tree(x), none).otherwise(F.concat(*map(unmet, x["any"])))
+        return none if "not" in x else F.when(c.leaf(x), none).otherwise(F.array(F.lit(expr.label(x))))
+
+    if not gate.rules:
+        return df.withColumn("near_misses", F.array().cast("array<struct<n_unmet:int,bit:int,rule:string,unmet:array<string>>>"))
+    ranked = F.array(*[F.when(~c.tree(r.when), F.struct(count(r.when).alias("n"), F.lit(r.bit).alias("bit"), F.lit(i).alias("i"))) for i, r in enumerate(gate.rules)])
+    made = df.withColumn("_near", F.slice(F.array_sort(F.array_compact(ranked)), 1, most_rules))
+
+    def written(k: int) -> Column:
+        x = F.get("_near", F.lit(k))
+        name, missing = F.lit(None).cast("string"), none
+        for i, r in enumerate(gate.rules):
+            name, missing = F.when(x["i"] == i, r.id).otherwise(name), F.when(x["i"] == i, F.slice(unmet(r.when), 1, most_unmet)).otherwise(missing)
+        return F.when(x.isNotNull(), F.struct(x["n"].alias("n_unmet"), x["bit"].alias("bit"), name.alias("rule"), missing.alias("unmet")))
+
+    return made.withColumn("near_misses", F.array_compact(F.array(*[written(k) for k in range(most_rules)]))).drop("_near")
 
 
 class Engine:

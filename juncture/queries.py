@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juncture.functions import scalars, text
-from juncture.operators import audit, compare, learn, metrics, mining
+from juncture.operators import audit, compare, learn, metrics, mining, observe
 from juncture.plans.compile import Engine, evaluate, near_misses
 from juncture.plans.expr import leaf, leaves
 from juncture.plans.policy import ActionPolicy, FanOut, Feature, Gate, Override, Rule, Stage, Staged
@@ -384,17 +384,18 @@ def learn_fanout(spark, sf_dir):
 
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9_''\\-]+')"
-_GRAMS = f"SELECT doc_id, toxic, unnest(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS phrase FROM (SELECT doc_id, toxic, {_WORDS} AS w FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL) WHERE len(w) > 1"
+_N_GRAMS = " || ".join("[array_to_string(w[i : i + %d], ' ') for i in range(1, greatest(len(w) - %d, 0) + 1)]" % (n - 1, n - 1) for n in (2, 3, 4))
+_GRAMS = f"SELECT doc_id, toxic, unnest(list_distinct({_N_GRAMS})) AS phrase FROM (SELECT doc_id, toxic, {_WORDS} AS w FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL) WHERE len(w) > 1"
 
 
 @query(f"SELECT phrase, count(*) FILTER (WHERE toxic = 1) AS pos, count(*) FILTER (WHERE toxic = 0) AS neg FROM ({_GRAMS}) GROUP BY phrase")
 def ngram_mining(spark, sf_dir):
-    return mining.phrase_counts(_labelled(spark, sf_dir), F.col("text"), F.col("toxic") == 1, 2, 2)
+    return mining.phrase_counts(_labelled(spark, sf_dir), F.col("text"), F.col("toxic") == 1)
 
 
 @query(f"SELECT phrase, pos, neg FROM (SELECT phrase, count(*) FILTER (WHERE toxic = 1) AS pos, count(*) FILTER (WHERE toxic = 0) AS neg FROM ({_GRAMS}) GROUP BY phrase) WHERE pos >= 2 ORDER BY pos - neg DESC, neg, pos DESC, length(phrase), phrase LIMIT 50")
 def phrase_rank(spark, sf_dir):
-    return mining.rank_phrases(mining.phrase_counts(_labelled(spark, sf_dir), F.col("text"), F.col("toxic") == 1, 2, 2), 50)
+    return mining.rank_phrases(mining.phrase_counts(_labelled(spark, sf_dir), F.col("text"), F.col("toxic") == 1), 50)
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])'), false) AS has_the, coalesce(contains(lower(text), '%%%'), false) AS has_junk FROM documents")
@@ -454,8 +455,11 @@ def verify_spec(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, a local one only if that is unset."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share: under spark.checkpoint.dir; a local one only if that is unset and the session is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{named or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT event_id, CAST(CASE WHEN {_FAN['page']} THEN 1 ELSE 0 END + CASE WHEN {_FAN['notify']} THEN 2 ELSE 0 END AS BIGINT) AS mask FROM events")
@@ -471,3 +475,76 @@ def stream_gate_scores(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS rows, count(*) FILTER (WHERE value > 50) AS denied FROM events GROUP BY 1")
 def windowed_rates(spark, sf_dir):
     return score.windowed_rates(table(spark, sf_dir, "events"), "ts", F.col("value") > 50).select("start", "rows", "denied")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, count(*) AS rows, count(*) FILTER (WHERE value > 50) AS denied FROM events GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_rates(spark, sf_dir):
+    """Rates by window of a stream of files: a window comes out once the watermark has passed it."""
+    source = table(spark, sf_dir, "events")
+    stream = score.read(spark, f"{sf_dir}/events.parquet*", source._jdf.schema().toDDL())
+    folder = _shared(spark)
+    score.run_available(score.windowed_rates(stream, "ts", F.col("value") > 50), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("start", "rows", "denied")
+
+
+@query("SELECT start, abs(denied / rows - 0.5) > 0.15 AS drifted FROM (SELECT date_trunc('hour', ts) AS start, count(*) AS rows, count(*) FILTER (WHERE value > 50) AS denied FROM events GROUP BY 1)")
+def stream_drift(spark, sf_dir):
+    rates = score.windowed_rates(table(spark, sf_dir, "events"), "ts", F.col("value") > 50)
+    return score.drift_from(rates, 0.5).select("start", "drifted")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_O[1]} THEN 'review' ELSE 'none' END AS action FROM orders")
+def action_no_match(spark, sf_dir):
+    policy = ActionPolicy("route", ORDER_FEATURES, (Rule("large", leaf("o_totalprice", ">", 200000), 0, "review"),), "hold", "none")
+    return evaluate(table(spark, sf_dir, "orders"), policy).select("o_orderkey", "action")
+
+
+@query("SELECT event_id, value > 50 AS denied, event_type AS kind FROM events")
+def json_path_project(spark, sf_dir):
+    """Paths of named fields into a nested row, as a staged policy's inputs and output."""
+    gate = Gate("g", (Feature("v", "float"),), (Rule("high", leaf("v", ">", 50), 0),))
+    staged = Staged("s", (Stage("one", gate, {"v": "$.event.reading.value"}, {"ok": "$.allow"}),), {"ok": "@one.ok", "kind": "$.event.kind"})
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(F.struct("value").alias("reading"), F.col("event_type").alias("kind")).alias("event"))
+    return evaluate(rows, staged).select("event_id", (~F.col("ok")).alias("denied"), "kind")
+
+
+_LOOSE = Gate("loose", LINE_FEATURES, LINE.rules[:1])
+
+
+@query(f"""SELECT probe, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE hit AND y AND NOT {_R0}) AS fixed, count(*) FILTER (WHERE hit AND NOT y AND NOT {_R0}) AS introduced FROM (
+SELECT *, l_returnflag = 'R' AS y, CASE probe WHEN 'tax' THEN abs(l_tax - 0.08) < {EPS} ELSE l_returnflag IN ('R') AND l_quantity <= 2 END AS hit FROM lineitem, (VALUES ('tax'), ('tiny')) AS p(probe)) GROUP BY probe""")
+def probe_validation(spark, sf_dir):
+    probes = {"tax": leaf("l_tax", "==", 0.08), "tiny": {"all": [leaf("l_returnflag", "in", ["R"]), leaf("l_quantity", "<=", 2)]}}
+    return compare.validate_probes(table(spark, sf_dir, "lineitem"), _LOOSE, F.col("l_returnflag") == "R", probes).select("probe", "matched", "fixed", "introduced")
+
+
+@query(f"SELECT o_orderkey, expected, predicted FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'review' ELSE 'hold' END AS expected, CASE WHEN {_O[0]} THEN 'expedite' WHEN {_O[1]} OR {_O[2]} THEN 'review' WHEN {_O[3]} THEN 'archive' ELSE 'hold' END AS predicted FROM orders) WHERE expected <> predicted")
+def action_conflict_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("label", F.expr("CASE WHEN o_totalprice > 150000 THEN 'review' ELSE 'hold' END"))
+    got = compare.action_conflicts(rows, ActionPolicy("route", (*ORDER_FEATURES, Feature("o_orderkey", "int")), ORDER_RULES, "hold"), "label")
+    return got.select("o_orderkey", "expected", "predicted")
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN 'denied' ELSE 'allowed' END AS hot, CASE WHEN starts_with(event_type, 'p') THEN 'denied' ELSE 'allowed' END AS paid FROM events")
+def trace_tables(spark, sf_dir):
+    kind = observe.Observed("event_type", "string", ("eq", "in", "contains", "startswith"))
+    value = observe.Observed("value", "number", ("gt", "lte"))
+    targets = {"hot": observe.observed(value, "gt", 50), "paid": observe.observed(kind, "startswith", "p")}
+    return observe.trace_tables(table(spark, sf_dir, "events"), ["event_id"], targets)["multi_target"]
+
+
+_CUES = text.Cues(override=("ignore all", "forget the"), system_prompt=("system prompt",), secrets=("password", "secret key"), tool=("run the tool",), document=("the document says",), benign=("how do i", "what is"))
+_HAS = lambda *phrases: " + ".join(f"CAST(regexp_matches(t, '(^|[^a-z0-9]){p}($|[^a-z0-9])') AS INT)" for p in phrases)
+_CASES = "SELECT * FROM (VALUES (1, 'Please ignore all of it', NULL, NULL), (2, 'What is the system prompt and the password?', 'shell', NULL), (3, 'How do I bake bread', NULL, NULL), (4, 'Run the tool, ignore all', 'shell', NULL), (5, NULL, NULL, 'elsewhere'), (6, 'The document says: secret key', 'none', 'here')) AS c(id, prompt, tool, scope)"
+
+
+@query(f"""SELECT id, o > 0 AS requests_instruction_override, y > 0 AS targets_system_prompt, x > 0 AS requests_secret_exfiltration, u > 0 AS requests_tool_misuse, a > 0 AS requests_data_access_outside_scope, d > 0 AS contains_indirect_document_authority,
+ b > 0 AND n = 0 AS is_likely_benign_question, round(100 * least(1.0, CASE WHEN b > 0 AND n = 0 THEN 0.02 ELSE 0.02 + 0.14 * n + 0.03 * least(6, o + y + x + u + a + d) + CASE WHEN u > 0 AND tool IN ('browser', 'filesystem', 'shell') THEN 0.1 ELSE 0 END END)) / 100 AS attack_confidence
+FROM (SELECT *, CAST(o > 0 AS INT) + CAST(y > 0 AS INT) + CAST(x > 0 AS INT) + CAST(u > 0 AS INT) + CAST(a > 0 AS INT) + CAST(d > 0 AS INT) AS n FROM (
+SELECT id, tool, {_HAS('ignore all', 'forget the')} AS o, {_HAS('system prompt')} AS y, {_HAS('password', 'secret key')} AS x, {_HAS('run the tool')} AS u, CAST(coalesce(scope, '') = 'elsewhere' AS INT) AS a, {_HAS('the document says')} AS d, {_HAS('how do i', 'what is')} AS b
+FROM (SELECT id, tool, scope, lower(coalesce(prompt, '')) AS t FROM ({_CASES}))))""")
+def guardrails_signals(spark, sf_dir):
+    rows = [(1, "Please ignore all of it", None, None), (2, "What is the system prompt and the password?", "shell", None), (3, "How do I bake bread", None, None), (4, "Run the tool, ignore all", "shell", None), (5, None, None, "elsewhere"), (6, "The document says: secret key", "none", "here")]
+    cases = spark.createDataFrame(rows, "id int, prompt string, tool string, scope string")
+    cues = text.Cues(**{**_CUES.__dict__, "scopes": ("elsewhere",)})
+    return text.guardrails(cases, cues, tool="tool", scope="scope").drop("prompt", "tool", "scope")

@@ -21,10 +21,15 @@ def scores(stream: DataFrame, policy: Any, mode: str = "lenient") -> DataFrame:
 
 
 def windowed_rates(stream: DataFrame, time: str, denied: Column, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """start, rows, denied, rate of each window; rows later than the watermark are left out."""
+    """start, rows, denied, rate of each window; on a stream, rows later than the watermark are left out. A time without a zone
+    is taken in the session's and given back without one."""
+    plain = dict(stream.dtypes)[time] == "timestamp_ntz"
+    if plain:
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     kept = stream.withWatermark(time, late).groupBy(F.window(F.col(time), every).alias("w"))
     counts = kept.agg(F.count("*").alias("rows"), F.count_if(denied).alias("denied"))
-    return counts.select(F.col("w.start").alias("start"), "rows", "denied", (F.col("denied") / F.col("rows")).alias("rate"))
+    start = F.col("w.start").cast("timestamp_ntz") if plain else F.col("w.start")
+    return counts.select(start.alias("start"), "rows", "denied", (F.col("denied") / F.col("rows")).alias("rate"))
 
 
 def drift_from(rates: DataFrame, baseline: float, most: float = 0.15) -> DataFrame:
