@@ -2,18 +2,19 @@
 
 A Bernoulli naive Bayes classifier, counted from a bounded sample of labelled documents, gives each document posteriors over
 domains. Nonnegative document rates are then fitted by projected gradient descent on the weighted squares of (expected
-tokens of a domain - its target): a step needs one sum over all documents for each domain, and nothing else leaves the
-executors. Rates start at 1 and move as little as the targets allow.
+tokens of a domain - its target): a step needs sums over all documents for each domain and pair of domains, and nothing else leaves the
+executors. Rates start at 1 and move about as little as the targets allow.
 """
 
 from __future__ import annotations
 
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juncture.llm.common import bounded_sample, cut, one_text_each, uniform
+from juncture.llm.common import bounded_sample, cut, one_text_each, stored, uniform
 from juncture.llm.decontaminate import _lead, _pieces
 
 #: Runs of ASCII signs; what lies between them.
@@ -96,34 +97,55 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most_steps: int = 2
 
     Targets are shares of a total: the corpus's tokens, or, with `reference`, the total at which that domain keeps its own
     tokens (so its documents' rates stay near 1). A domain without any mass cannot be met and stays at its least squares.
-    Squares are divided by the domain's mass, so that no curvature exceeds 1 and steps of size 1 go down. It goes on until the
-    sum of squares falls no more; a share that then differs from its target by over a hundredth of it is told by a warning.
+    A step goes down the gradient, scaled by the curvature of the documents whose rate isn't 0 (one number for each pair of
+    domains, summed with the totals), and negative rates become 0; where the sum of squares is not less then, the step is
+    shorter, and at last the plain gradient's. It ends when the sum of squares falls by less than a ten-thousandth; a share that then differs from its target by
+    over a hundredth of it is told by a warning.
     """
     weight = sum(targets.values())
-    share = {d: t / weight for d, t in targets.items()}
-    mass = F.col("tokens") * F.col("_rows")
-    first = members.agg(*[F.coalesce(F.sum(mass * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in share], F.coalesce(F.sum(mass), F.lit(0)).alias("_all")).first()
-    total = float(first[reference]) / share[reference] if reference else float(first["_all"])
+    domains = list(targets)
+    share = np.array([targets[d] / weight for d in domains])
+    mass = (F.col("tokens") * F.col("_rows")).cast("double")
+    p = [F.col(f"p_{d}") for d in domains]
+
+    def measure(x: Column) -> tuple[np.ndarray, np.ndarray, float]:
+        """Each domain's tokens at the rates x, the curvature, and all tokens."""
+        moving = F.when(x > 0, mass)
+        row = members.agg(*[F.sum(mass * x * c) for c in p], *[F.sum(moving * a * b) for a in p for b in p], F.sum(mass)).first()
+        numbers = [float(v or 0) for v in row]
+        n = len(domains)
+        return np.array(numbers[:n]), np.array(numbers[n:-1]).reshape(n, n), numbers[-1]
+
     x: Column = F.lit(1.0)
+    got, curvature, everything = measure(x)
+    total = got[domains.index(reference)] / share[domains.index(reference)] if reference else everything
     if total <= 0:
         return members.withColumn("rate", x)
-    scale = {d: max(float(first[d]) / total, 1e-3 * share[d], 1e-9) for d in share}
-    got, before = {d: float(first[d]) for d in share}, None
+    scale = np.maximum(got / total, np.maximum(1e-3 * share, 1e-9))
+    error_of = lambda t: float(((t / total - share) ** 2 / scale).sum())
+    error = error_of(got)
     for step in range(1, most_steps + 1):
-        residual = {d: (got[d] / total - share[d]) / scale[d] for d in share}
-        error = sum(scale[d] * residual[d] ** 2 for d in share)
-        if error < tolerance**2 or (before is not None and before - error < 1e-12 * before):
+        if error < tolerance**2:
             break
-        before = error
-        x = F.greatest(F.lit(0.0), x - sum((F.lit(residual[d]) * F.col(f"p_{d}") for d in share), F.lit(0.0)))
+        gap = got / total - share
+        scaled = np.linalg.pinv(curvature / total, rcond=1e-9) @ gap
+        # the last one, divided by each domain's mass, goes down in any case: no curvature is more than 1 then
+        for move in (scaled, scaled / 4, gap / scale):
+            option = F.greatest(F.lit(0.0), x - sum((F.lit(float(m)) * c for m, c in zip(move, p, strict=True)), F.lit(0.0)))
+            now, bent, _ = measure(option)
+            if error_of(now) < error:
+                break
+        else:
+            break
+        before, error, x, got, curvature = error, error_of(now), option, now, bent
         if step % 10 == 0:
-            members = cut(members.withColumn("_x", x))
+            members = stored(members.withColumn("_x", x))
             x = F.col("_x")
-        now = members.agg(*[F.sum(mass * F.col(f"p_{d}") * x).alias(d) for d in share]).first()
-        got = {d: float(now[d] or 0) for d in share}
-    unmet = {d: round(got[d] / total, 6) for d in share if abs(got[d] / total - share[d]) > 0.01 * share[d]}
+        if before - error < 1e-4 * before:
+            break
+    unmet = {d: round(float(g) / total, 6) for d, g, s in zip(domains, got, share, strict=True) if abs(g / total - s) > 0.01 * s}
     if unmet:
-        warnings.warn(f"targets {share} are not met: {unmet}", Unmet, stacklevel=2)
+        warnings.warn(f"targets {dict(zip(domains, share.tolist(), strict=True))} are not met: {unmet}", Unmet, stacklevel=2)
     return members.withColumn("rate", x).drop("_x")
 
 

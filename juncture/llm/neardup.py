@@ -250,7 +250,7 @@ def residual_links(members: DataFrame, reps: DataFrame, texts_of, percent: int,
         found = _links(sets, x, y, table.column("root").to_pylist(), percent)
         return pa.table({"a": pa.array([rep[a] for a, _ in found], pa.int64()), "b": pa.array([rep[b] for _, b in found], pa.int64())})
 
-    first = _blocks(members, 8 * size).join(sigs, "rep").groupBy("pivot", "i", "j").applyInArrow(near, "pivot long, rep long")
+    first = _blocks(members, 4 * size).join(sigs, "rep").groupBy("pivot", "i", "j").applyInArrow(near, "pivot long, rep long")
     involved = cut(members.join(first.distinct(), ["pivot", "rep"]))
     texts = texts_of(involved.select("rep"))
     blocks = _blocks(involved, size).join(sigs, "rep").join(texts, "rep")
