@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juncture.llm.common import bounded_sample, fold
+from juncture.llm.common import bounded_sample, fold, one_text_each, small_batches
 
 #: ASCII signs, digits and controls are one space; what is beyond ASCII stays.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -127,16 +127,24 @@ def _tables(texts: tuple[tuple[str, bytes], ...]) -> tuple[bytes, np.ndarray, np
     return symbols, np.concatenate(blocks).ravel().astype("int32"), np.array(roots, dtype="int64")
 
 
+def fair_shares(sizes: list[int], budget: int) -> list[int]:
+    """How much of each text is taken: all of the short ones, and of the others equal parts of what these leave."""
+    out, left = [0] * len(sizes), budget
+    for k, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - k))
+        left -= out[i]
+    return out
+
+
 def train(docs: DataFrame, texts_a_language: int = 60, bytes_a_language: int = 24_000) -> Parser:
-    """From documents with (doc_id, text, lang): at most `texts_a_language` whole texts of each of the 64 commonest languages,
-    joined and cut at `bytes_a_language`."""
-    ids = bounded_sample(docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang"), F.col("lang"), F.col("doc_id"), texts_a_language)
-    short = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    got = short.filter(F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, bytes_a_language).alias("text")).collect()
-    by: dict[str, list] = {}
-    for row in got:
-        by.setdefault(row["lang"], []).append((row["h"], row["text"]))
-    joined = {k: b" ".join(normal(t) for _, t in sorted(v))[:bytes_a_language] for k, v in by.items()}
+    """From documents with (doc_id, text, lang): at most `texts_a_language` texts of each language, and of these at most
+    `bytes_a_language` in all, so that a long one doesn't stand for all others."""
+    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.xxhash64("doc_id", "lang").alias("doc_id"), F.col("lang").alias("_lang"), F.substring("text", 1, bytes_a_language).alias("text"))
+    ids = bounded_sample(known.select("doc_id", "_lang").distinct(), F.col("_lang"), F.col("doc_id"), texts_a_language)
+    by: dict[str, list[bytes]] = {}
+    for row in sorted(one_text_each(known, ids, "_lang").collect()):
+        by.setdefault(row["_lang"], []).append(normal(row["text"]))
+    joined = {k: b" ".join(t[:n] for t, n in zip(v, fair_shares([len(t) for t in v], bytes_a_language), strict=True) if n) for k, v in by.items()}
     return Parser(tuple(sorted((k, t) for k, t in joined.items() if t)))
 
 
@@ -169,6 +177,7 @@ def languages_of_documents(docs: DataFrame) -> DataFrame:
     Null text or no letter: `und`, score 0. A null lang teaches nothing; with no labelled text at all every row is `und`.
     Repeated rows are predicted each; a null doc_id is neither held out nor learned from.
     """
+    small_batches(docs.sparkSession)
     parser = train(docs.filter(fold("doc_id", 4) != 2))
     found = predict(docs, parser)
     return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

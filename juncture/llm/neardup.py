@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from juncture.llm.common import cut, of_rows, row_key
+from juncture.llm.common import cut, of_rows, row_key, small_batches
 from juncture.llm.words import Block, blocks
 from juncture.llm.words import mix as _mix
 
@@ -262,6 +262,7 @@ def groups(docs: DataFrame, percent: int) -> DataFrame:
 
     Texts with equal sets are one representative, so copies cost nothing beyond the first. Rows without shingles have no root.
     """
+    small_batches(docs.sparkSession)
     sketched = cut(sketch(docs))
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("_row").alias("own"), "sig", "n_shingles")).alias("r")
     sets = sketched.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(least).select("set_key", "r.*")

@@ -41,8 +41,9 @@ def _draw(df: DataFrame, rate: Column, salt: int) -> list[tuple]:
     return df.filter(uniform(F.col("_major"), F.col("_minor"), F.lit(salt)) < rate).select("_major", "_minor").collect()
 
 
-def splitters(df: DataFrame, ranges: int, draws_a_range: int = 32, rounds: int = 3, seed: int = 7) -> DataFrame:
-    """Adds `_range`: size-weighted quantile ranges of (_major, _minor), about `ranges` of them.
+def splitters(df: DataFrame, ranges: int, draws_a_range: int = 32, rounds: int = 12, seed: int = 7) -> DataFrame:
+    """Adds `_range`: size-weighted quantile ranges of (_major, _minor), about `ranges` of them. Overfull ones are drawn from and
+    divided again until none is left that has unlike keys (or `rounds` have passed).
 
     The driver holds about ranges * draws_a_range keys and one sum for each range, however many records there are.
     """
@@ -56,10 +57,9 @@ def splitters(df: DataFrame, ranges: int, draws_a_range: int = 32, rounds: int =
         full = sums.filter((F.col("b") > 2 * total / ranges) & (F.col("least") != F.col("most")) & (F.col("n") > 4)).collect()
         if not full or more == rounds - 1:
             return out
-        rate = F.lit(0.0)
-        for row in full:
-            rate = F.when(F.col("_range") == row["_range"], F.col("_size") * F.lit(4.0 * draws_a_range * max(1, round(row["b"] * ranges / total)) / row["b"])).otherwise(rate)
-        drawn = sorted(set(map(tuple, _draw(out, rate, seed + more + 1))))
+        rates = [(row["_range"], 4.0 * draws_a_range * max(1, round(row["b"] * ranges / total)) / row["b"]) for row in full]
+        again = out.join(F.broadcast(df.sparkSession.createDataFrame(rates, "_range int, _rate double")), "_range")
+        drawn = sorted(set(map(tuple, _draw(again, F.col("_size") * F.col("_rate"), seed + more + 1))))
         picked = sorted({*picked, *drawn[:: 2 * draws_a_range]})
     return out
 

@@ -141,10 +141,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, upper.lower()), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every key that could fit: each suffix of the host at a dot, with each start of the path of a listed length."""
+def candidate_keys(host: Column, path: Column, lengths: list[int], depths: list[int]) -> Column:
+    """Every key that could fit: each suffix of the host, at a dot, of as many labels as a listed host has, with each start of the
+    path of a listed length. A host of thousands of labels gives no more keys than another."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(F.size(labels) >= k, F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")) for k in depths]))
     starts = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.struct(s.alias("host"), F.concat(s, p).alias("key")))))
 
@@ -160,9 +161,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, otherwise: str = "a
         raise ValueError("one key has two verdicts")
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, depths = sorted({len(r.path) for r in rules}), sorted({r.host.count(".") + 1 for r in rules})
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = split.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    keyed = split.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths, depths))
     universe = keyed.select(F.explode("_keys.key").alias("key"))
     verdicts = sorted({r.verdict for r in rules})
     cascades = [build_cascade(universe, spark.createDataFrame([(r.key,) for r in rules if r.verdict == v], "key string")) for v in verdicts]

@@ -424,6 +424,18 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_a_host_of_many_labels_costs_no_more(spark):
+    long = ".".join("a" * 3000)
+    rows = [(1, f"http://{long}.com/en/"), (2, f"http://{long}/en/")]
+    got = {r.page_id: r.rule for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: "com/en/", 2: None}
+
+
+def test_shares_of_training_texts():
+    assert language.fair_shares([10, 1000, 50], 100) == [10, 45, 45] and language.fair_shares([], 5) == []
+    assert sum(language.fair_shares([7, 7, 7], 20)) <= 20
+
+
 def test_cascade_is_exact_for_the_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.filter(F.crc32("key") % 40 == 0)
