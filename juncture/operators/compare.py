@@ -23,6 +23,12 @@ def replay(df: DataFrame, gate: Gate, denied: Column) -> DataFrame:
     return df.withColumns({"expected": denied, "predicted": ~got["allow"], "matched_rules": got["matched_rules"]}).withColumn("correct", F.col("expected").eqNullSafe(F.col("predicted")))
 
 
+def replay_actions(df: DataFrame, policy: ActionPolicy, action: str) -> DataFrame:
+    """Each row with expected, predicted (the actions), correct, matched_rules."""
+    got = action_columns(policy, "lenient")
+    return df.withColumns({"expected": F.col(action), "predicted": got["action"], "matched_rules": got["matched_rules"]}).withColumn("correct", F.col("expected").eqNullSafe(F.col("predicted")))
+
+
 def conflicts(df: DataFrame, gate: Gate, denied: Column) -> DataFrame:
     """The rows where gate and label disagree: row_hash, expected, predicted, matched_rules, near_misses (of denied rows)."""
     names = [f.name for f in gate.features if not f.derived]

@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juncture.operators.mining import ATOMS, Candidate, Cells, atoms, cell_table, conjunctions, finer
+from juncture.operators.mining import ATOMS, Candidate, Cells, atoms, cell_table, conjunctions, finer, kinds_of, threshold_coverage
 from juncture.plans import expr
-from juncture.plans.compile import Compiler
+from juncture.plans.compile import Compiler, derive
 from juncture.plans.policy import ActionPolicy, FanOut, Feature, Gate, Rule
 
 LOOKAHEAD, BRUTE, SHORTLIST, RARE, PASSES = 12, 16, 96, 24, 3
@@ -376,12 +376,12 @@ def _features(cells: Cells) -> tuple[Feature, ...]:
     return tuple(Feature(c, _TYPES[k]) for c, k in cells.kinds.items())
 
 
-def _gate(id: str, cells: Cells, trees: list[dict], pinned: tuple[Rule, ...] = ()) -> Gate:
+def _gate(id: str, features: tuple[Feature, ...], trees: list[dict], pinned: tuple[Rule, ...] = ()) -> Gate:
     """Rules in order; a pinned rule wins over a learned one of its signature."""
     fixed = {expr.signature(r.when) for r in pinned}
     fresh = [t for t in trees if expr.signature(t) not in fixed]
     learned = [Rule(f"rule_{i:03d}", t, len(pinned) + i, label=expr.label(t), hint=expr.hint(t)) for i, t in enumerate(fresh)]
-    return Gate(id, _features(cells), (*[Rule(**{**r.__dict__, "bit": i}) for i, r in enumerate(pinned)], *learned)).validate()
+    return Gate(id, features, (*[Rule(**{**r.__dict__, "bit": i}) for i, r in enumerate(pinned)], *learned)).validate()
 
 
 @dataclass
@@ -390,14 +390,8 @@ class Learned:
     report: dict
 
 
-def learn_gate(df: DataFrame, columns: list[str], denied: Column, id: str = "gate", goal: Goal = Goal(), most_rules: int = 16, pinned: tuple[Rule, ...] = (), most_conditions: int = 3, rounds: int = 8) -> Learned:
-    """A gate that denies what the labels deny.
-
-    Rows are reduced to cells and the rules are sought on these. Where an axis doesn't hold all thresholds or values, those
-    about each rule's edges and of missed rows are brought in and the search goes on, until no edge can be moved. The rules
-    are chosen by the rows that train and, among equals, by a fifth kept for validation; the report counts all rows.
-    """
-    said = F.coalesce(denied, F.lit(False))
+def _search(df: DataFrame, columns: list[str], said: Column, goal: Goal, most_rules: int, most_conditions: int, rounds: int) -> tuple[tuple, Cells, list[dict]]:
+    """(key, cells, rules): the search on cells, with axes made finer about the rules' edges until no edge moves."""
     cells = cell_table(df, columns, said)
     trees = rules_of(cells, goal, most_rules, most_conditions) if cells.denied.sum() else []
     score = lambda c, t: Plan(c, goal, [Candidate(x, c.mask(x), 0, 0, 0.0) for x in t]).key()
@@ -412,13 +406,12 @@ def learn_gate(df: DataFrame, columns: list[str], denied: Column, id: str = "gat
         axes, whole, keep = more
         cells = cell_table(df, columns, said, (axes, whole), keep=keep)
         trees = rules_of(cells, goal, most_rules, most_conditions)
+        kept = None
         if all(_on_axes(cells, t) for t in best[2]):
             same = Plan(cells, goal, [Candidate(t, cells.mask(t), 0, 0, 0.0) for t in best[2]])
             kept = same.key()
             sharpen(same)
             trees = min(trees, [c.tree for c in same.chosen], key=lambda t: score(cells, t))
-        else:
-            kept = None
         option = (score(cells, trees), cells, trees)
         if option[0] < best[0]:
             best = option
@@ -426,8 +419,37 @@ def learn_gate(df: DataFrame, columns: list[str], denied: Column, id: str = "gat
             best = (kept, cells, best[2])  # no better yet, but the edges are closed in further
         else:
             break
-    _, cells, trees = best
-    gate = _gate(id, cells, trees, pinned)
+    # what is missed still and can be had without a new error
+    key, cells, trees = best
+    for p in proposals(cells, trees) if trees and len(trees) < most_rules else []:
+        if p["safe"] and len(trees) < most_rules and score(cells, [*trees, p["tree"]]) < key:
+            trees = [*trees, p["tree"]]
+            key = score(cells, trees)
+    return key, cells, trees
+
+
+def learn_gate(df: DataFrame, columns: list[str], denied: Column, id: str = "gate", goal: Goal = Goal(), most_rules: int = 16, pinned: tuple[Rule, ...] = (), most_conditions: int = 3, rounds: int = 8, pairs: bool = True) -> Learned:
+    """A gate that denies what the labels deny.
+
+    Rows are reduced to cells and the rules are sought on these. Where an axis doesn't hold all thresholds or values, those
+    about each rule's edges and of missed rows are brought in and the search goes on, until no edge can be moved. Where errors
+    are left, differences and ratios of two numbers that tell more than either (`interactions`) become features too, which is
+    how a comparison of two columns is found. The rules are chosen by the rows that train and, among equals, by a fifth kept for
+    validation; the report counts all rows.
+    """
+    said = F.coalesce(denied, F.lit(False))
+    key, cells, trees = _search(df, columns, said, goal, most_rules, most_conditions, rounds)
+    features = _features(cells)
+    if pairs and trees and any(key[:2]) and sum(k == "number" for k in cells.kinds.values()) > 1:
+        found = interactions(df, columns, said)
+        if found:
+            wide = df.withColumns({f.name: derive(f.derived["kind"], F.col(f"`{f.derived['left']}`"), F.col(f"`{f.derived['right']}`")) for f in found})
+            option = _search(wide, [*columns, *[f.name for f in found]], said, goal, most_rules, most_conditions, rounds)
+            if option[0] < key:
+                key, cells, trees = option
+                used = {f for t in trees for f in expr.features(t)}
+                features = tuple(f for f in _features(cells) if f.name in columns) + tuple(f for f in found if f.name in used)
+    gate = _gate(id, features, trees, pinned)
     hit = cells.mask(expr.union([r.when for r in gate.rules if _on_axes(cells, r.when)])) if gate.rules else np.zeros(len(cells.denied), bool)
     d, a = cells.denied + cells.held_denied, cells.allowed + cells.held_allowed
     nd, na = int(d.sum()), int(a.sum())
@@ -508,23 +530,25 @@ def learn_targets(df: DataFrame, columns: list[str], targets: list[str]) -> tupl
 
 
 def interactions(df: DataFrame, columns: list[str], denied: Column, most: int = 8, sources: int = 6) -> list[Feature]:
-    """Differences and ratios of pairs of numbers whose best threshold has more signal than either side's."""
-    from juncture.plans.compile import derive
+    """Differences and ratios of pairs of numbers whose best threshold has more signal than either side's. Two histograms, of the
+    columns and of all pairs, whatever their number."""
+    kinds = kinds_of(df, columns)
+    numbers = [c for c in columns if kinds[c] == "number"]
+    said = F.coalesce(denied, F.lit(False))
 
-    base = cell_table(df, columns, denied)
-    best = lambda cells, c: max((x.signal for x in atoms(cells, cells.denied, 4096) if x.tree["feature"] == c), default=0.0)
-    scores = {c: best(base, c) for c in columns if base.kinds[c] == "number"}
-    top = sorted(scores, key=lambda c: (-scores[c], c))[:sources]
-    pairs = [(kind, a, b) for a in top for b in top if a != b for kind in ("difference", "ratio")]
-    if not pairs:
+    def best(table: DataFrame, names: list[str], label: Column) -> dict[str, float]:
+        found = threshold_coverage(table, names, label).filter("op <> '=='").groupBy("field").agg(F.max("signal").alias("s"))
+        return {n: 0.0 for n in names} | {r["field"]: r["s"] for r in found.collect()}
+
+    if len(numbers) < 2:
         return []
-    names = {f"{a}__{'minus' if k == 'difference' else 'over'}__{b}": (k, a, b) for k, a, b in pairs}
-    wide = df.select(denied.alias("_y"), *[derive(k, F.col(a), F.col(b)).alias(n) for n, (k, a, b) in names.items()])
-    found = []
-    for n, (k, a, b) in names.items():
-        s = best(cell_table(wide, [n], F.col("_y")), n)
-        if s > max(scores[a], scores[b]):
-            found.append((-s, n, Feature(n, "float", derived={"kind": k, "left": a, "right": b})))
+    scores = best(df, numbers, said)
+    top = sorted(scores, key=lambda c: (-scores[c], c))[:sources]
+    # of a difference one order of the two says it all
+    names = {f"{a}__{'minus' if k == 'difference' else 'over'}__{b}": (k, a, b) for a in top for b in top for k in ("difference", "ratio") if a != b and (k == "ratio" or a < b)}
+    wide = df.select(said.alias("_y"), *[derive(k, F.col(f"`{a}`"), F.col(f"`{b}`")).alias(n) for n, (k, a, b) in names.items()])
+    signal = best(wide, list(names), F.col("_y"))
+    found = [(-signal[n], n, Feature(n, "float", derived={"kind": k, "left": a, "right": b})) for n, (k, a, b) in names.items() if signal[n] > max(scores[a], scores[b])]
     return [f for _, _, f in sorted(found, key=lambda x: x[:2])[:most]]
 
 

@@ -84,6 +84,16 @@ def test_exact_choice_beyond_sixteen(spark):
     assert plan.key(found)[0] == 0 and plan.key(found) <= plan.key(pool[-6:])
 
 
+def test_comparisons_of_two_columns_are_found(spark):
+    rows = [(float(a), float(b), float((a * 7 + b * 3) % 5), a > b + 2) for a in range(20) for b in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y boolean")
+    got = learn.learn_gate(df, ["a", "b", "c"], F.col("y"))
+    assert got.report["parity"] == 1.0 and any(f.derived for f in got.policy.features) and len(got.policy.rules) == 1
+    assert evaluate(df, got.policy).filter("allow = y").count() == 0
+    replayed = compare.replay(df, got.policy, F.col("y"))
+    assert replayed.filter("not correct").count() == 0
+
+
 def test_residual_conjunctions(spark):
     rows = [(a, b, c, a and b and not c) for a in (True, False) for b in (True, False) for c in (True, False) for _ in range(4)]
     cells = mining.cell_table(spark.createDataFrame(rows, "a boolean, b boolean, c boolean, y boolean"), ["a", "b", "c"], F.col("y"))
