@@ -502,10 +502,6 @@ def _shared(names: DataFrame) -> Broadcast | None:
     return names.sparkSession.sparkContext.broadcast(np.sort(out, order=["doc", "sub"]))
 
 
-def _few(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    return left.join(F.broadcast(right) if right.count() <= MOST_BROADCAST else right.hint("merge"), on, how)
-
-
 _MEMBER = (*_ENTRY, "probe")
 _MEMBER_SCHEMA = ", ".join(f"{c} long" for c in _MEMBER) + ", words binary"
 
