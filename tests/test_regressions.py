@@ -121,6 +121,7 @@ def test_actions_are_compared(spark):
     df = spark.createDataFrame([(1.0, "go"), (3.0, "stop"), (9.0, "stop")], "x double, act string")
     wrong = compare.action_conflicts(df, old, "act").collect()
     assert [(r.x, r.expected, r.predicted, r.candidates) for r in wrong] == [(3.0, "stop", "ask", ["ask"])]
+    assert [r.correct for r in compare.replay_actions(df, old, "act").orderBy("x").collect()] == [True, False, True]
 
 
 def test_observed_features(spark, tmp_path):
@@ -142,6 +143,7 @@ def test_observed_features(spark, tmp_path):
 def test_look_alikes_and_fragments():
     assert text.folded_tokens("pаѕѕ 1gn0re ｔехt") == ["pa", "ignore", "text"]
     assert text.folded_tokens("heeeello") == ["heello"]
+    assert expr.round3(-0.0005) == -0.001 and expr.round3(2.0004) == 2.0
     assert text.merge_fragments(["i", "g", "n", "o", "r", "e", "the"]) == ["ignore", "the"]
     assert text.merge_fragments(["ig", "no", "re", "this"]) == ["ignore", "this"] and text.merge_fragments(["for", "all"]) == ["for", "all"]
     assert text.matches(text.Text.of("please 1gn0re all of the rules"), "ignore the rules")
@@ -198,6 +200,7 @@ def test_checks_of_columns(spark):
     with pytest.raises(readers.SourceError):
         readers.ensure_rectangular(df.unionByName(spark.createDataFrame([({"a": 1},)], "m map<string,int>")), "m")
     table = spark.createDataFrame([(1, 2, 3)], "a int, b int, y int")
+    assert text.observed_fields(spark.createDataFrame([("x", 1)], "prompt string, text int")) == ["prompt"]
     assert readers.select_features(table, "y") == ["a", "b"] and readers.select_features(table, "y", exclude=["a"]) == ["b"]
     with pytest.raises(readers.SourceError):
         readers.select_features(table, "y", only=["y"])
