@@ -32,7 +32,8 @@ def _words(docs: DataFrame, *keep: str) -> DataFrame:
     last = F.get("_w", F.size("_w") - 1)
     tokens = F.size("_w") - _lead(F.col("_w")) - ((F.size("_w") > 1) & (last == "")).cast("int")
     sized = pieces.withColumn("tokens", tokens.cast("long"))
-    unlike = F.size(F.array_distinct(F.filter("_w", lambda w: w != "")))
+    # an empty piece, at either end, is no word
+    unlike = F.size(F.array_distinct("_w")) - F.array_contains("_w", "").cast("int")
     return sized.withColumn("_r", F.when(F.col("tokens") >= 20, F.concat(F.lit("#r"), F.floor(unlike * 20 / F.col("tokens")).cast("string"))).otherwise("#r"))
 
 

@@ -575,7 +575,7 @@ def test_posteriors_match_naive_bayes(spark, docs, labels, rows):
         p /= p.sum()
         r = got[(i, len(w))]
         assert np.allclose([r.p_clean, r.p_junk, r.p_toxic], p)
-    assert len(weights) > 3
+    assert {"zzvile", "%%%", "#doc"} <= set(weights)
 
 
 def test_the_vote_matches_brute_force():
