@@ -85,16 +85,20 @@ def boundary_probes(spark: SparkSession, gate: Gate, baseline: dict[str, Any]) -
 
 
 def cross_check(df: DataFrame, gate: Gate) -> DataFrame:
-    """rows, agreed: the compiled gate against the interpreter, on every row (gates of at most 62 bits)."""
+    """rows, agreed: the compiled gate against the interpreter, on every row, all words of the mask."""
     names = [f.name for f in gate.features if not f.derived]
 
-    @F.pandas_udf("long")
+    def words(mask: int) -> list[int]:
+        out = [mask >> at & (1 << 64) - 1 for at in range(0, max(mask.bit_length(), 1), 64)]
+        return [w - (1 << 64) if w >> 63 else w for w in out]
+
+    @F.pandas_udf("array<long>")
     def interpreted(rows):
         import pandas as pd
 
-        return pd.Series([interpret_mask(gate, {k: (v.item() if hasattr(v, "item") else v) for k, v in r.items()}) for r in rows.to_dict("records")])
+        return pd.Series([words(interpret_mask(gate, {k: (v.item() if hasattr(v, "item") else v) for k, v in r.items()})) for r in rows.to_dict("records")])
 
-    both = df.select(F.get(gate_columns(gate)["mask"], F.lit(0)).alias("compiled"), interpreted(F.struct(*names)).alias("interpreted"))
+    both = df.select(gate_columns(gate)["mask"].alias("compiled"), interpreted(F.struct(*names)).alias("interpreted"))
     return both.agg(F.count("*").alias("rows"), F.count_if(F.col("compiled") == F.col("interpreted")).alias("agreed"))
 
 

@@ -317,20 +317,43 @@ class Engine:
             df = df.withColumns({n: coerce_to(F.col(n), t) for n, t in wanted.items() if kinds.get(n) == "string" and t in ("bool", "int", "float")})
         return evaluate(df, self.policy, mode, explain)
 
-    def evaluate(self, rows: dict | list[dict]) -> list[int] | int:
-        """The bitmask of one row (or of each), by the interpreter. Gates only."""
-        single = isinstance(rows, dict)
-        masks = [interpret_mask(self.policy, r) for r in ([rows] if single else rows)]
-        return masks[0] if single else masks
+    def evaluate(self, rows: dict | list[dict]) -> Any:
+        """By the interpreter, of one row or of each: a gate's bitmask, an action policy's action, a fan-out's actions."""
+        if isinstance(rows, list):
+            return [self.evaluate(r) for r in rows]
+        if self.policy.kind == "gate":
+            return interpret_mask(self.policy, rows)
+        if self.policy.kind == "action":
+            return interpret_action(self.policy, rows)
+        if self.policy.kind == "fan_out":
+            return [a for a, g in self.policy.gates if interpret_mask(g, rows)]
+        raise PolicyError(f"single rows of kind {self.policy.kind!r} are evaluated as a table of one row")
+
+
+def interpret_action(policy: ActionPolicy, row: dict) -> str:
+    """An action policy's action by the interpreter: the first rule that holds, or the action of most weight (then the earlier one)."""
+    row = _with_derived(policy.features, row)
+    hits = [r for r in policy.ordered() if expr.holds(r.when, row)]
+    if not hits:
+        return policy.no_match_action or policy.default_action
+    votes: dict[str, int] = {}
+    for r in hits:
+        votes[r.action] = votes.get(r.action, 0) + max(1, r.weight)
+    return max(votes, key=lambda a: votes[a]) if policy.mode == "weighted_vote" else hits[0].action
 
 
 def interpret_mask(gate: Gate, row: dict) -> int:
     """A gate's mask by the interpreter, derived features included."""
+    row = _with_derived(gate.features, row)
+    return sum(1 << r.bit for r in gate.rules if expr.holds(r.when, row))
+
+
+def _with_derived(features: tuple[Feature, ...], row: dict) -> dict:
     row = dict(row)
-    for f in derived_order(gate.features):
+    for f in derived_order(features):
         if row.get(f.name) is not None:
             raise PolicyError(f"derived feature {f.name!r} is computed, not supplied")
         a, b = (float(row[f.derived[s]]) for s in ("left", "right"))
         v = a - b if f.derived["kind"] == "difference" else 0.0 if b != b or abs(b) < EPSILON else a / b
         row[f.name] = v if v == v and abs(v) != float("inf") else 0.0
-    return sum(1 << r.bit for r in gate.rules if expr.holds(r.when, row))
+    return row

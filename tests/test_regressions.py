@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from juncture.functions import scalars, text
 from juncture.operators import audit, compare, learn, metrics, mining, observe
 from juncture.plans import expr
-from juncture.plans.compile import evaluate, gate_columns, interpret_mask, near_misses
+from juncture.plans.compile import Engine, evaluate, gate_columns, interpret_mask, near_misses
 from juncture.plans.compile import test_bit as bit_of
 from juncture.plans.expr import leaf
 from juncture.plans.policy import ActionPolicy, Feature, Gate, Rule, compose
@@ -226,6 +226,10 @@ def test_wide_masks_and_composition(spark):
     for r in got:
         mask = interpret_mask(gate, {"x": r.x})
         assert all(r[f"b{i}"] == bool(mask >> i & 1) for i in (0, 62, 63, 64, 127, 200))
+    assert compare.cross_check(df, gate).first().asDict() == {"rows": 2, "agreed": 2}
+    for mode in ("first_match", "weighted_vote"):
+        policy = ActionPolicy("p", features, (Rule("a", leaf("x", ">", 0), 0, "low", 0, 1), Rule("b", leaf("x", ">", 50), 1, "high", 1, 2)), "none", mode=mode)
+        assert [r.action for r in evaluate(df, policy).collect()] == Engine(policy).evaluate([r.asDict() for r in df.collect()])
     staged = compose("both", [gate, Gate("low", features, (Rule("l", leaf("x", "<", 1), 0),))], {"x": "$.x"})
     assert {"wide_bitmask", "low_bitmask"} <= set(evaluate(df, staged).columns)
 
