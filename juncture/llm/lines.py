@@ -82,8 +82,10 @@ class Sets:
             return
         mixed = mix(self.word)
         self.set_id = mix(np.add.reduceat(mixed, self.start[:-1]) + self.size.astype("uint64")).view("int64")
-        bit = np.uint64(1) << (mixed >> np.uint64(58))
         self.parity = np.zeros((8, len(full)), dtype="uint64")
+        if level is None:
+            return  # no entries are made of these
+        bit = np.uint64(1) << (mixed >> np.uint64(58))
         self.parity[0] = np.bitwise_xor.reduceat(bit, self.start[:-1])
         # of the bits that choose among 2, 4 and 8 words of 64 places: the last one chosen is 0
         for k, (least, columns) in enumerate(zip(WIDER, ((1,), (2, 3), (4, 5, 6, 7)), strict=True)):
@@ -326,9 +328,10 @@ def _near(run: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.
     size, place = run["shape"] >> 32, run["shape"] & 0xFFFFFFFF
     a, b = size[i], size[j]
     ok = np.flatnonzero((5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * (1 + np.minimum(a - 1 - place[i], b - 1 - place[j])) >= 4 * (a + b)))
-    differ = lambda c: (run[c][i[ok]] ^ run[c][j[ok]]).view("uint64")
+    # the wider parities lie in the order that the entries came in
+    differ = lambda c: (run[c][run["came"][i[ok]]] ^ run[c][run["came"][j[ok]]]).view("uint64")
     ones = lambda parts: sum(np.bitwise_count(p).astype("int64") for p in parts)
-    parts = [differ("p0")]
+    parts = [(run["p0"][i[ok]] ^ run["p0"][j[ok]]).view("uint64")]
     unlike = ones(parts)
     for beyond, names in zip(WIDER, _EXTRA, strict=True):
         good = 9 * unlike <= (a + b)[ok]
@@ -345,6 +348,17 @@ def _earlier(run: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.nda
     return (doc[y] < doc[x]) | ((doc[y] == doc[x]) & (sub[y] < sub[x]))
 
 
+def _by_word(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The entries in the order of their words and sizes (`came`: where each one was), and where each word begins."""
+    token, size = rows["token"], rows["shape"] >> 32
+    if token.min() >= 0 and token.max() < 1 << 42 and size.max() < 1 << 20:
+        order = np.argsort((token << 20) | size)
+    else:
+        order = np.lexsort((size, token))
+    run = {c: v if c in _PARITY[1:] else v[order] for c, v in rows.items()} | {"came": order}
+    return run, np.concatenate([[0], np.flatnonzero(run["token"][1:] != run["token"][:-1]) + 1, [len(order)]])
+
+
 def _stars(run: dict[str, np.ndarray], edges: np.ndarray, large: int = 512, most: int = 16) -> tuple[np.ndarray, ...]:
     """(x, y, unlike): in each large run of one word, lines that clearly match one of its first lines. A group of near copies is
     settled by its first member, so its pairs needn't be looked at."""
@@ -410,10 +424,8 @@ def _likest(f: dict[str, np.ndarray], limit: int, clear: int) -> dict[str, np.nd
 def _best(rows: dict[str, np.ndarray], limit: int, clear: int) -> pa.RecordBatch | None:
     """`_likest` of the entries `rows`; more = 1 also where a divided word leaves others open (then even without any candidate:
     y null)."""
-    order = np.lexsort((rows["shape"] >> 32, rows["token"]))
-    rows = {c: v[order] for c, v in rows.items()}
-    n = len(order)
-    edges = np.concatenate([[0], np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1, [n]])
+    rows, edges = _by_word(rows)
+    n = len(rows["token"])
     size = rows["shape"] >> 32
     held: list[dict[str, np.ndarray]] = []
 
@@ -515,9 +527,8 @@ def _with_words(sets: Sets, at: np.ndarray, probe: int) -> pa.RecordBatch:
 
 def _matches(rows: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     """Of the entries of one or more words those with probe = 1 whose lines match an earlier one among the others."""
-    order = np.lexsort((rows["shape"] >> 32, rows["token"]))
-    rows = {c: v[order] for c, v in rows.items()}
-    edges = np.concatenate([[0], np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1, [len(order)]])
+    rows, edges = _by_word(rows)
+    order = rows["came"]
     found: set[int] = set()
     for x, y, _ in _pairs(rows, np.flatnonzero(rows["probe"]), edges):
         for a, b in zip(x.tolist(), y.tolist(), strict=True):
