@@ -150,3 +150,12 @@ def test_votes_of_more_than_62_rules(spark):
     rules = tuple(Rule(f"r{i:02d}", expr.leaf("x", "==", i), i, f"a{i}", i, 1) for i in range(70))
     got = learn.vote_aware(rows, ActionPolicy("p", (Feature("x", "float"),), rules, "none", mode="weighted_vote"), "action")
     assert len(got.rules) == 70
+
+
+def test_narrow_bands_are_not_crowded_out_by_wide_ones(spark):
+    """Beside a wide rule, a band of three conditions whose edges have many strong but impure neighbours."""
+    rule = "(v > 81234.5 AND v < 154321.7 AND k IN ('k1', 'k2')) OR v > 321111.1"
+    df = spark.range(40_000).select((F.pmod(F.xxhash64("id"), F.lit(50_000_000)) / 100 + 900).alias("v"), F.concat(F.lit("k"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("string")).alias("k"))
+    df = df.withColumn("y", F.expr(rule)).cache()
+    got = learn.learn_gate(df, ["v", "k"], F.col("y"))
+    assert evaluate(df, got.policy, "lenient").filter(F.col("allow") == F.col("y")).count() == 0
