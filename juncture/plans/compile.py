@@ -281,19 +281,22 @@ def near_misses(df: DataFrame, gate: Gate, most_rules: int = 3, most_unmet: int
             return F.when(c.tree(x), none).otherwise(F.concat(*map(unmet, x["any"])))
         return none if "not" in x else F.when(c.leaf(x), none).otherwise(F.array(F.lit(expr.label(x))))
 
+    kind = "array<struct<n_unmet:int,bit:int,rule:string,unmet:array<string>>>"
     if not gate.rules:
-        return df.withColumn("near_misses", F.array().cast("array<struct<n_unmet:int,bit:int,rule:string,unmet:array<string>>>"))
-    ranked = F.array(*[F.when(~c.tree(r.when), F.struct(count(r.when).alias("n"), F.lit(r.bit).alias("bit"), F.lit(i).alias("i"))) for i, r in enumerate(gate.rules)])
-    made = df.withColumn("_near", F.slice(F.array_sort(F.array_compact(ranked)), 1, most_rules))
-
-    def written(k: int) -> Column:
-        x = F.get("_near", F.lit(k))
-        name, missing = F.lit(None).cast("string"), none
-        for i, r in enumerate(gate.rules):
-            name, missing = F.when(x["i"] == i, r.id).otherwise(name), F.when(x["i"] == i, F.slice(unmet(r.when), 1, most_unmet)).otherwise(missing)
-        return F.when(x.isNotNull(), F.struct(x["n"].alias("n_unmet"), x["bit"].alias("bit"), name.alias("rule"), missing.alias("unmet")))
-
-    return made.withColumn("near_misses", F.array_compact(F.array(*[written(k) for k in range(most_rules)]))).drop("_near")
+        return df.withColumn("near_misses", F.array().cast(kind))
+    # one whole number a rule, (unmet, place by bit), and -1 if it fires: generated code ranks them, and each is written out once
+    rules = sorted(gate.rules, key=lambda r: r.bit)
+    keys = F.array(*[F.when(c.tree(r.when), -1).otherwise(count(r.when) * len(rules) + i) for i, r in enumerate(rules)])
+    made = df.withColumn("_near", F.slice(F.sort_array(F.array_remove(keys, -1)), 1, most_rules))
+    bits, names = F.array(*[F.lit(r.bit) for r in rules]), F.array(*[F.lit(r.id) for r in rules])
+
+    def written(x: Column) -> Column:
+        at, missing = x % len(rules), none
+        for i, r in reversed(list(enumerate(rules))):
+            missing = F.when(at == i, F.slice(unmet(r.when), 1, most_unmet)).otherwise(missing)
+        return F.struct(F.floor(x / len(rules)).cast("int").alias("n_unmet"), F.get(bits, at).alias("bit"), F.get(names, at).alias("rule"), missing.alias("unmet"))
+
+    return made.withColumn("near_misses", F.transform("_near", written)).drop("_near")
 
 
 class Engine:

@@ -245,6 +245,28 @@ def test_near_misses_match_the_interpreter(spark):
         assert [(n.n_unmet, n.bit, n.rule, n.unmet) for n in row.near_misses] == sorted(lists)[:3]
 
 
+def test_near_misses_are_ranked_without_a_comparator(spark):
+    """Ranks are sorted as whole numbers by generated code, not by a comparator that is interpreted for each pair."""
+    features = tuple(Feature(f"x{i}", "float") for i in range(6))
+    gate = Gate("g", features, tuple(Rule(f"r{i}", {"any": [leaf(f"x{i}", ">", 5), leaf(f"x{i}", "<", -5)]}, 7 - i) for i in range(6)))
+    df = spark.range(40).select(*[((F.col("id") * (i + 3)) % 13 - 6.0).alias(f"x{i}") for i in range(6)])
+    got = near_misses(df, gate).filter(F.get("near_misses", F.lit(0))["n_unmet"] > 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    wanted = [sorted(7 - i for i in range(6) if abs(r[f"x{i}"]) <= 5)[:3] for r in df.collect()]
+    assert [[n.bit for n in r.near_misses] for r in got.collect()] == [w for w in wanted if w]
+
+
+def test_cross_check_interprets_equal_rows_once(spark):
+    gate = Gate("g", (Feature("a b", "float"), Feature("s", "string")), (Rule("r0", leaf("a b", ">", 2), 0), Rule("r1", leaf("s", "==", "y"), 70)))
+    df = spark.range(1000).select((F.col("id") % 4.0).alias("a b"), F.when(F.col("id") % 3 == 0, "y").otherwise("n").alias("s"))
+    got = compare.cross_check(df, gate)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("ArrowEvalPython")
+    assert got.first().asDict() == {"rows": 1000, "agreed": 1000}
+    assert compare.cross_check(df.limit(0), gate).first().asDict() == {"rows": 0, "agreed": 0}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(float(i), "x" if i % 2 else "y", i > 5) for i in range(10)], "v double, k string, y boolean")
     got = audit.drift_report(df, ["v"], ["k"], F.col("y"), nuisance=["v"]).collect()
