@@ -98,8 +98,11 @@ def cross_check(df: DataFrame, gate: Gate) -> DataFrame:
 
         return pd.Series([words(interpret_mask(gate, {k: (v.item() if hasattr(v, "item") else v) for k, v in r.items()})) for r in rows.to_dict("records")])
 
-    both = df.select(gate_columns(gate)["mask"].alias("compiled"), interpreted(F.struct(*names)).alias("interpreted"))
-    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("compiled") == F.col("interpreted")).alias("agreed"))
+    # every row is compiled; rows of equal features and compiled mask are interpreted once
+    alike = df.select(*[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names)], gate_columns(gate)["mask"].alias("compiled")).groupBy("compiled", *[f"f{i}" for i in range(len(names))]).agg(F.count("*").alias("n"))
+    both = alike.select("n", "compiled", interpreted(F.struct(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)])).alias("interpreted"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return both.agg(total("n").alias("rows"), total(F.when(F.col("compiled") == F.col("interpreted"), F.col("n"))).alias("agreed"))
 
 
 def rule_table(spark: SparkSession, policy: Gate | ActionPolicy) -> DataFrame:
