@@ -6,6 +6,7 @@ Whatever built-in functions can say is a Column. The tolerant matcher is an Arro
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -36,7 +37,7 @@ STANDS_FOR = {"@": "a", "4": "a", "$": "s", "5": "s", "0": "o", "1": "i", "!": "
 WHOLE_WORDS = ("a", "an", "and", "for", "how", "its", "not", "now", "the", "this", "that", "why")
 _FOLD = str.maketrans({x: k for k, v in LOOKALIKES.items() for x in v} | STANDS_FOR)
 _TOKEN = re.compile(r"[a-z0-9_'\-]+")
-_FOLDED = re.compile(r"[a-z0-9]+")
+_FOLDED, _RUN = re.compile(r"[a-z0-9]+"), re.compile(r"([a-z0-9])\1{2,}")
 # Quotes, and what divides a text into parts.
 _QUOTES, _DELIMITERS = "\"`“”‘’", "\n\r:;|#>.!?[]{}"
 
@@ -74,25 +75,31 @@ def alike(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+#: Words repeat from text to text: of each phrase word the tokens seen, and those of them that are alike; so many are remembered.
+_SEEN: dict[str, tuple[set[str], set[str]]] = {}
+_MOST_SEEN = 1 << 16
+
+
 def folded_tokens(text: str) -> list[str]:
     """Runs of letters and digits once look-alikes are folded, runs of one character cut to two."""
-    return [re.sub(r"(.)\1{2,}", r"\1\1", t) for t in _FOLDED.findall(text.translate(_FOLD).lower())]
+    # a token is letters and digits alone, so runs can be cut before the text is divided
+    return _FOLDED.findall(_RUN.sub(r"\1\1", text.translate(_FOLD).lower()))
 
 
 def merge_fragments(tokens: list[str]) -> list[str]:
     """A run of six or more single letters, and three or else two short pieces (2 to 4 letters, six in all, none a whole word of
     its own), become one token in their place."""
+    short = [2 <= len(p) <= 4 and p.isalpha() and p not in WHOLE_WORDS for p in tokens]
     out, i = [], 0
     while i < len(tokens):
-        j = i
-        while j < len(tokens) and len(tokens[j]) == 1 and tokens[j].isalpha():
-            j += 1
-        width = j - i if j - i >= 6 else 0
-        for n in (3, 2) if not width else ():
-            part = tokens[i : i + n]
-            if len(part) == n and all(2 <= len(p) <= 4 and p.isalpha() and p not in WHOLE_WORDS for p in part) and sum(map(len, part)) >= 6:
-                width = n
-                break
+        width = 0
+        if short[i]:
+            width = next((n for n in (3, 2) if i + n <= len(tokens) and all(short[i : i + n]) and sum(map(len, tokens[i : i + n])) >= 6), 0)
+        elif len(tokens[i]) == 1:
+            j = i
+            while j < len(tokens) and len(tokens[j]) == 1 and tokens[j].isalpha():
+                j += 1
+            width = j - i if j - i >= 6 else 0
         out.append("".join(tokens[i : i + width]) if width else tokens[i])
         i += width or 1
     return out
@@ -118,24 +125,48 @@ class Text:
         raw = (text or "").lower()
         found = list(_TOKEN.finditer(raw))
         starts = [m.start() for m in found]
-        place = lambda at: sum(s < at for s in starts)
+        place = lambda at: bisect_left(starts, at)
         breaks = sorted({place(i) for i, ch in enumerate(raw) if ch in _DELIMITERS})
         marks = [i for i, ch in enumerate(raw) if ch in _QUOTES]
         quoted = tuple((place(a), place(b)) for a, b in zip(marks[::2], marks[1::2], strict=False))
         return cls(raw, tuple(m[0] for m in found), tuple(breaks), quoted)
 
 
+def _kin(tokens: tuple[str, ...], phrase: tuple[str, ...]) -> list[set[str]]:
+    """For each word of the phrase the tokens that are alike; empty if a word has none."""
+    different, out = set(tokens), []
+    for w in phrase:
+        seen, kin = _SEEN.get(w) or (set(), set())
+        fresh = different - seen
+        if fresh:
+            if w not in _SEEN and len(_SEEN) >= 4096:
+                _SEEN.clear()
+            if len(seen) > _MOST_SEEN:
+                seen, kin, fresh = set(), set(), different
+            seen |= fresh
+            kin |= {t for t in fresh if alike(t, w)}
+            _SEEN[w] = (seen, kin)
+        here = different & kin
+        if not here:
+            return []
+        out.append(here)
+    return out
+
+
 def _spans(tokens: tuple[str, ...], phrase: tuple[str, ...]) -> list[tuple[int, int]]:
-    n = len(phrase)
-    return [(i, i + n) for i in range(len(tokens) - n + 1) if all(alike(tokens[i + k], phrase[k]) for k in range(n))] if n else []
+    n, kin = len(phrase), _kin(tokens, phrase)
+    return [(i, i + n) for i in range(len(tokens) - n + 1) if all(tokens[i + k] in kin[k] for k in range(n))] if kin else []
 
 
 def in_order(tokens: tuple[str, ...], phrase: tuple[str, ...], skip: int = SKIP) -> bool:
     """The phrase's words in order with at most `skip` other tokens among them, all together."""
-    for start in range(len(tokens) if phrase else 0):
+    kin = _kin(tokens, phrase)
+    for start in range(len(tokens) if kin else 0):
+        if tokens[start] not in kin[0]:
+            continue
         at, left = 0, skip
-        for t in tokens[start:]:
-            if alike(t, phrase[at]):
+        for i in range(start, len(tokens)):
+            if tokens[i] in kin[at]:
                 at += 1
                 if at == len(phrase):
                     return True
@@ -189,17 +220,25 @@ def phrase_count(c: Column, phrases: list[str]) -> Column:
     return count(c)
 
 
-def signal_flags(df: DataFrame, texts: list[str], signals: dict[str, list[str]]) -> DataFrame:
-    """A boolean column for each signal: whether a text column matches one of its phrases. One pass of one UDF."""
+def signal_flags(df: DataFrame, texts: list[str], signals: dict[str, list[str]], cues: str | None = None) -> DataFrame:
+    """A boolean column for each signal: whether a text column matches one of its phrases; `cues` names a column for how many of
+    all the phrases match. One pass of one UDF."""
     names, phrases = list(signals), [tuple(v) for v in signals.values()]
 
-    @F.pandas_udf("array<boolean>")
+    def found(ts: list[Text]) -> list[int]:
+        if cues is None:
+            return [int(any(matches(t, p) for t in ts for p in ps)) for ps in phrases]
+        counts = [sum(any(matches(t, p) for t in ts) for p in ps) for ps in phrases]
+        return [*(int(c > 0) for c in counts), sum(counts)]
+
+    @F.pandas_udf("array<int>")
     def flags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[any(matches(t, p) for t in ts for p in ps) for ps in phrases] for ts in ([Text.of(x) for x in row] for row in batch)])
+            yield pd.Series([found([Text.of(x) for x in row]) for row in batch])
 
     out = df.withColumn("_flags", flags(F.array(*[F.coalesce(F.col(t), F.lit("")) for t in texts])))
-    return out.withColumns({n: F.col("_flags")[i] for i, n in enumerate(names)}).drop("_flags")
+    made = {n: F.col("_flags")[i] == 1 for i, n in enumerate(names)} | ({cues: F.col("_flags")[len(names)]} if cues else {})
+    return out.withColumns(made).drop("_flags")
 
 
 @dataclass(frozen=True)

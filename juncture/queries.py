@@ -410,10 +410,9 @@ SIGNALS = {"asks_help": ["can you __gap__ help", "please"], "quoted_order": ["__
 
 @query()
 def guardrails_observer(spark, sf_dir):
-    turns = text.signal_flags(table(spark, sf_dir, "conversations"), ["text"], SIGNALS)
-    cues = text.phrase_count(F.coalesce(F.col("text"), F.lit("")), [p for v in SIGNALS.values() for p in v])
+    turns = text.signal_flags(table(spark, sf_dir, "conversations"), ["text"], SIGNALS, "cues")
     flags = [F.col(n) for n in SIGNALS]
-    return turns.select("conv_id", "turn", *SIGNALS, text.attack_confidence(flags[1:], cues, F.col("mentions_tool"), F.col("asks_help")).alias("confidence"))
+    return turns.select("conv_id", "turn", *SIGNALS, text.attack_confidence(flags[1:], F.col("cues"), F.col("mentions_tool"), F.col("asks_help")).alias("confidence"))
 
 
 @query("SELECT conv_id, string_agg('[Turn ' || turn || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text NULLS FIRST) AS prompt FROM conversations GROUP BY conv_id")

@@ -293,3 +293,21 @@ def test_late_rows_of_a_stream(spark, tmp_path):
     got = {r.start: (r.rows, r.denied) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {start: (2, 2), start + timedelta(hours=5): (2, 1)}
     assert score.drift_from(spark.read.parquet(str(tmp_path / "out")), 0.5).filter("drifted").count() == 1
+
+
+def test_observer_reads_each_text_once(spark, monkeypatch):
+    from juncture import queries
+
+    plan = queries.guardrails_observer(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    df = spark.createDataFrame([("please run the tool",), ("can you kindly help, please",), (None,)], "text string")
+    got = text.signal_flags(df, ["text"], {"asks": ["can you __gap__ help", "please"], "tool": ["run the tool"]}, "cues").collect()
+    assert [(r.asks, r.tool, r.cues) for r in got] == [(True, True, 2), (True, False, 2), (False, False, 0)]
+
+
+def test_matcher_compares_a_word_with_a_token_once(monkeypatch):
+    calls, plain = [], text.alike
+    monkeypatch.setattr(text, "alike", lambda a, b: calls.append((a, b)) or plain(a, b))
+    for _ in range(50):
+        assert text.matches(text.Text.of("zebras graze where zebras grazed before"), "zebra __near__ grazes")
+    assert len(calls) == len(set(calls))
