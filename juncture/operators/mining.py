@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from juncture.functions import grams
 from juncture.operators.audit import unpivot, unpivot_numbers
 from juncture.plans import expr
 
@@ -343,11 +344,8 @@ def conjunctions(cells: Cells, left: np.ndarray, singles: list[Candidate], most:
 
 def phrase_counts(df: DataFrame, text: Column, positive: Column, low: int = 2, high: int = 4) -> DataFrame:
     """phrase, pos, neg: in how many positive and other texts each n-gram of words occurs."""
-    from juncture.functions.text import ngrams, words
-
-    grams = F.array_distinct(F.concat(*[ngrams(F.col("_w"), n) for n in range(low, high + 1)]))
-    rows = df.select(F.coalesce(positive, F.lit(False)).alias("_p"), words(F.coalesce(text, F.lit(""))).alias("_w")).select("_p", F.explode(grams).alias("phrase"))
-    return rows.groupBy("phrase").agg(F.count_if("_p").alias("pos"), F.count_if(~F.col("_p")).alias("neg"))
+    rows = df.select(F.coalesce(positive, F.lit(False)).alias("positive"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    return grams.counted(rows, low, high)
 
 
 def rank_phrases(counts: DataFrame, k: int, least: int = 2) -> DataFrame:

@@ -311,3 +311,42 @@ def test_matcher_compares_a_word_with_a_token_once(monkeypatch):
     for _ in range(50):
         assert text.matches(text.Text.of("zebras graze where zebras grazed before"), "zebra __near__ grazes")
     assert len(calls) == len(set(calls))
+
+
+def test_phrases_are_counted_by_chunk_and_bucket(spark):
+    """One row a bucket is shuffled, not one a phrase; the counts are those of distinct n-grams text by text."""
+    texts = ["The cat's nap, the CAT'S nap -- the_cat", "a b", "b a b a b a b", None, "", "one", "ümlaut ß-x K9 İz, x\ny\tz", "x", "y", "x y", "!!", "it-- 'quoted' word\x00word", "tail"] * 3
+    rows = [(t, (None, True, False)[i % 3] if i < 20 else i % 2 == 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "t string, y boolean").repartition(3)
+    for low, high in ((2, 4), (1, 2), (3, 3)):
+        made = F.array_distinct(F.concat(*[text.ngrams(F.col("w"), n) for n in range(low, high + 1)]))
+        plain = df.select(F.coalesce("y", F.lit(False)).alias("y"), text.words(F.coalesce("t", F.lit(""))).alias("w")).select("y", F.explode(made).alias("phrase")).groupBy("phrase").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+        got = mining.phrase_counts(df, F.col("t"), F.col("y"), low, high)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    assert mining.phrase_counts(df.limit(0), F.col("t"), F.col("y")).count() == 0
+    assert mining.phrase_counts(df.filter("t = 'x'"), F.col("t"), F.col("y")).count() == 0
+
+
+def test_chunks_and_buckets_are_whole(monkeypatch):
+    """Small chunks, runs of buckets cut across batches: no phrase comes twice, none is lost, the sums are those of one chunk."""
+    import numpy as np
+    import pyarrow as pa
+
+    from juncture.functions import grams
+
+    words = [f"w{i * i % 97}" for i in range(4000)]
+    docs = [" ".join(words[i : i + 1 + i % 50]) for i in range(0, 3900, 13)]
+    data, cuts = grams._bytes(pa.array(docs))
+    flags = np.arange(len(docs)) % 3 == 0
+    whole = [r for b in grams._dealt(data, cuts, flags, 2, 4) for r in grams._added([b])]
+    parts = [b for i in range(len(docs)) for b in grams._dealt(data[cuts[i] : cuts[i + 1]], cuts[i : i + 2] - cuts[i], flags[i : i + 1], 2, 4)]
+    rows = pa.Table.from_batches(parts).sort_by("bucket").combine_chunks()
+    monkeypatch.setattr(grams, "TOGETHER", 2000)
+    runs = list(grams._whole_buckets(iter(rows.to_batches(max_chunksize=7))))
+    assert len(runs) > 5
+    out = [r for held in runs for r in grams._added(held)]
+    listed = lambda batches: sorted(tuple(x.values()) for b in batches for x in b.to_pylist())
+    assert listed(out) == listed(whole)
+    assert len({x[0] for x in listed(out)}) == len(listed(out))
