@@ -350,3 +350,14 @@ def test_chunks_and_buckets_are_whole(monkeypatch):
     listed = lambda batches: sorted(tuple(x.values()) for b in batches for x in b.to_pylist())
     assert listed(out) == listed(whole)
     assert len({x[0] for x in listed(out)}) == len(listed(out))
+
+
+def test_phrases_are_ranked_from_dealt_counts(spark):
+    """No n-gram is a row of the shuffle; ties go to fewer neg, more pos, the shorter and then by text."""
+    from juncture import queries
+
+    plan = queries.phrase_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    df = spark.createDataFrame([("b c", True), ("b c", True), ("a z", True), ("a z", True), ("aa z", True), ("aa z", True), ("q r", True), ("q r", True), ("q r", True), ("q r", False), ("lone one", True)], "t string, y boolean")
+    got = mining.rank_phrases(mining.phrase_counts(df, F.col("t"), F.col("y")), 10).collect()
+    assert [tuple(r) for r in got] == [("a z", 2, 0), ("b c", 2, 0), ("aa z", 2, 0), ("q r", 3, 1)]
