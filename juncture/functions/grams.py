@@ -8,12 +8,14 @@ the n-grams of a bucket are added up. No task keeps a map of all the n-grams tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of texts counted together (a longer text is a chunk of its own), bits of a bucket's number, and bytes of whole buckets
 #: from which they are added up together.
@@ -29,13 +31,9 @@ def counted(df: DataFrame, low: int, high: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, cuts = _bytes(batch.column(1))
             positive = batch.column(0).to_numpy(zero_copy_only=False)
-            i = 0
-            while i < len(positive):
-                j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + CHUNK, side="right")) - 1)
-                yield from _dealt(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], positive[i:j], low, high)
-                i = j
+            for data, cuts, i in _chunks(batch.column(1)):
+                yield from _dealt(data, cuts, positive[i : i + len(cuts) - 1], low, high)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_buckets(batches):
@@ -45,6 +43,85 @@ def counted(df: DataFrame, low: int, high: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "phrase string, pos long, neg long")
 
 
+def occurring(df: DataFrame, phrases: list[str]) -> DataFrame:
+    """id, texts: in how many texts of df (text, not null and lower-cased) each of these n-grams occurs, by its place in `phrases`.
+
+    Each task keeps one count a phrase; nothing else of a text goes into the shuffle."""
+    tree = Tree.of(phrases)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(phrases), np.int64)
+        for batch in batches:
+            for data, cuts, _ in _chunks(batch.column(0)):
+                total += np.bincount(tree.found(data, cuts), minlength=len(phrases))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["id", "texts"])
+
+    return df.select("text").mapInArrow(count, "id int, texts long").groupBy("id").agg(F.sum("texts").alias("texts"))
+
+
+@dataclass
+class Tree:
+    """n-grams by their beginnings. vocabulary: their words; keys: for two words and more the sorted codes (that of the words
+    before the last, the last one's place), whose places are the codes of the next length; ids: by length the n-gram of a code, or -1."""
+
+    vocabulary: pa.Array
+    keys: list[np.ndarray]
+    ids: list[np.ndarray]
+
+    @classmethod
+    def of(cls, phrases: list[str]) -> Tree:
+        parts = [p.split(" ") for p in phrases]
+        words = sorted({w for x in parts for w in x})
+        place = {w: i for i, w in enumerate(words)}
+        size = np.array([len(x) for x in parts], np.int64)
+        code, keys, ids = np.array([place[x[0]] for x in parts], np.int64), [], []
+        for n in range(1, int(size.max(initial=1)) + 1):
+            many = len(words)
+            if n > 1:
+                longer = np.flatnonzero(size >= n)
+                known, at = np.unique(code[longer] * len(words) + np.array([place[parts[i][n - 1]] for i in longer], np.int64), return_inverse=True)
+                code[longer], many = at, len(known)
+                keys.append(known)
+            named = np.full(many, -1, np.int64)
+            named[code[size == n]] = np.flatnonzero(size == n)
+            ids.append(named)
+        return cls(pa.array([w.encode() for w in words], pa.large_binary()), keys, ids)
+
+    def found(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The n-grams that occur in these texts, each once a text."""
+        got = _split(data, cuts)
+        if got is None or not len(self.vocabulary):
+            return np.empty(0, np.int64)
+        _, _, _, doc, words, different = got
+        word = pc.fill_null(pc.index_in(different, self.vocabulary), -1).to_numpy().astype(np.int64)[words]
+        at = np.flatnonzero(word >= 0)
+        code, pairs, many = word[at], [], sum(int((x >= 0).sum()) for x in self.ids)
+        for n, named in enumerate(self.ids, 1):
+            if n > 1:
+                inside = at + n - 1 < len(word)
+                at, code = at[inside], code[inside]
+                inside = (doc[at] == doc[at + n - 1]) & (word[at + n - 1] >= 0)
+                at, code = at[inside], code[inside]
+                key = code * len(self.vocabulary) + word[at + n - 1]
+                code = np.searchsorted(self.keys[n - 2], key)
+                inside = self.keys[n - 2][np.minimum(code, len(self.keys[n - 2]) - 1)] == key
+                at, code = at[inside], code[inside]
+            known = named[code]
+            pairs.append((doc[at] * many + known)[known >= 0])
+        return pc.unique(pa.array(np.concatenate(pairs))).to_numpy() % many
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The bytes of about CHUNK of texts, where each begins and the last one ends, and the first one's place."""
+    data, cuts = _bytes(texts)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + CHUNK, side="right")) - 1)
+        yield data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], i
+        i = j
+
+
 def _bytes(held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values of a string or binary array, and where each value begins and the last one ends."""
     if not len(held):
@@ -70,8 +147,9 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return got.indices.to_numpy().astype(np.int64), got.dictionary
 
 
-def _dealt(data: np.ndarray, cuts: np.ndarray, positive: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket that the n-grams of these texts fall into: their bytes end to end, their sizes and counts."""
+def _split(data: np.ndarray, cuts: np.ndarray) -> tuple | None:
+    """Of the words of these texts: their letters end to end, where each ends in them, its size, its text, its code, and the
+    different words by code; None if there is no word."""
     inside, edge = _IN_WORD[data], np.zeros(len(data) + 1, bool)
     edge[cuts] = True
     begins, stops = inside.copy(), inside.copy()
@@ -79,11 +157,19 @@ def _dealt(data: np.ndarray, cuts: np.ndarray, positive: np.ndarray, low: int, h
     stops[:-1] &= ~inside[1:] | edge[1:-1]
     start = np.flatnonzero(begins)
     if not len(start):
-        return
+        return None
     size = np.flatnonzero(stops) + 1 - start
-    doc = np.repeat(np.arange(len(positive)), np.diff(np.searchsorted(start, cuts)))
+    doc = np.repeat(np.arange(len(cuts) - 1), np.diff(np.searchsorted(start, cuts)))
     letters, ends = data[inside], _ends(size)
-    words, different = _codes(_array(pa.large_binary(), ends, letters))
+    return letters, ends, size, doc, *_codes(_array(pa.large_binary(), ends, letters))
+
+
+def _dealt(data: np.ndarray, cuts: np.ndarray, positive: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that the n-grams of these texts fall into: their bytes end to end, their sizes and counts."""
+    got = _split(data, cuts)
+    if got is None:
+        return
+    letters, ends, size, doc, words, different = got
     hashed = np.fromiter(map(crc32, different.to_pylist()), np.uint64, len(different))[words]
     # the words with one space after each: an n-gram is a slice of it
     at = ends[:-1] + np.arange(len(size))

@@ -26,6 +26,8 @@ MOST_THRESHOLDS, MOST_CELLS = 256, 200_000
 LEAST_OF_CLASS = 20
 EQ_VALUES, EQ_SUPPORT, EQ_SHARE = 20, 3, 0.001
 ATOMS, LEVEL, TOTAL = 128, 256, 2048
+#: Phrases whose other texts are counted in a first pass, and in a second one at most.
+FIRST_PHRASES, MOST_PHRASES = 4000, 200_000
 
 
 def gtest(d: Column, a: Column, nd: Column, na: Column) -> Column:
@@ -342,12 +344,43 @@ def conjunctions(cells: Cells, left: np.ndarray, singles: list[Candidate], most:
     return sorted(out, key=lambda c: c.order)[:TOTAL]
 
 
+def _classed(df: DataFrame, text: Column, positive: Column) -> DataFrame:
+    return df.select(F.coalesce(positive, F.lit(False)).alias("positive"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+
+
 def phrase_counts(df: DataFrame, text: Column, positive: Column, low: int = 2, high: int = 4) -> DataFrame:
     """phrase, pos, neg: in how many positive and other texts each n-gram of words occurs."""
-    rows = df.select(F.coalesce(positive, F.lit(False)).alias("positive"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    return grams.counted(rows, low, high)
+    return grams.counted(_classed(df, text, positive), low, high)
 
 
 def rank_phrases(counts: DataFrame, k: int, least: int = 2) -> DataFrame:
     """The k best phrases: (pos - neg), fewer neg, more pos, shorter, by text."""
     return counts.filter(F.col("pos") >= least).orderBy(F.desc(F.col("pos") - F.col("neg")), "neg", F.desc("pos"), F.length("phrase"), "phrase").limit(k)
+
+
+def best_phrases(df: DataFrame, text: Column, positive: Column, k: int, least: int = 2, low: int = 2, high: int = 4, first: int = FIRST_PHRASES, most: int = MOST_PHRASES) -> DataFrame:
+    """`rank_phrases` of `phrase_counts`, without counting the n-grams of other texts that cannot be among the k best.
+
+    Every n-gram of the positive texts is counted. The other texts are searched for the `first` of them by pos, which gives a
+    k-th best (pos - neg); an n-gram of a smaller pos cannot reach that. If some that were not searched for can, all of that
+    pos and above are, in a second pass; beyond `most` of them, everything is counted.
+    """
+    rows = _classed(df, text, positive)
+    ours = grams.counted(rows.filter("positive"), low, high).filter(F.col("pos") >= least).select("phrase", "pos")
+
+    def with_neg(chosen: list) -> list[tuple[str, int, int]]:
+        neg = {r["id"]: r["texts"] for r in grams.occurring(rows.filter("not positive"), [r["phrase"] for r in chosen]).collect()}
+        return [(r["phrase"], r["pos"], neg.get(i, 0)) for i, r in enumerate(chosen)]
+
+    first = max(first, k)
+    # what follows the limit keeps the merge of all tasks' best away from the driver
+    chosen = ours.orderBy(F.desc("pos")).limit(first + 1).filter("pos > 0").collect()
+    counts = with_neg(chosen)
+    if len(chosen) > first:
+        bound = sorted((pos - neg for _, pos, neg in counts), reverse=True)[k - 1]
+        if bound <= min(r["pos"] for r in chosen):
+            chosen = ours.filter(F.col("pos") >= bound).limit(most + 1).collect()
+            if len(chosen) > most:
+                return rank_phrases(phrase_counts(df, text, positive, low, high), k, least)
+            counts = with_neg(chosen)
+    return rank_phrases(df.sparkSession.createDataFrame(counts, "phrase string, pos long, neg long"), k, least)

@@ -396,7 +396,7 @@ def ngram_mining(spark, sf_dir):
 
 @query(f"SELECT phrase, pos, neg FROM (SELECT phrase, count(*) FILTER (WHERE toxic = 1) AS pos, count(*) FILTER (WHERE toxic = 0) AS neg FROM ({_GRAMS}) GROUP BY phrase) WHERE pos >= 2 ORDER BY pos - neg DESC, neg, pos DESC, length(phrase), phrase LIMIT 50")
 def phrase_rank(spark, sf_dir):
-    return mining.rank_phrases(mining.phrase_counts(_labelled(spark, sf_dir), F.col("text"), F.col("toxic") == 1), 50)
+    return mining.best_phrases(_labelled(spark, sf_dir), F.col("text"), F.col("toxic") == 1, 50)
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])'), false) AS has_the, coalesce(contains(lower(text), '%%%'), false) AS has_junk FROM documents")
