@@ -26,8 +26,8 @@ MOST_THRESHOLDS, MOST_CELLS = 256, 200_000
 LEAST_OF_CLASS = 20
 EQ_VALUES, EQ_SUPPORT, EQ_SHARE = 20, 3, 0.001
 ATOMS, LEVEL, TOTAL = 128, 256, 2048
-#: Phrases whose other texts are counted in a first pass, and in a second one at most.
-FIRST_PHRASES, MOST_PHRASES = 4000, 200_000
+#: Phrases that other texts are searched for in a first pass, and in any pass at most.
+FIRST_PHRASES, MOST_PHRASES = 16_000, 200_000
 
 
 def gtest(d: Column, a: Column, nd: Column, na: Column) -> Column:
@@ -362,25 +362,27 @@ def best_phrases(df: DataFrame, text: Column, positive: Column, k: int, least: i
     """`rank_phrases` of `phrase_counts`, without counting the n-grams of other texts that cannot be among the k best.
 
     Every n-gram of the positive texts is counted. The other texts are searched for the `first` of them by pos, which gives a
-    k-th best (pos - neg); an n-gram of a smaller pos cannot reach that. If some that were not searched for can, all of that
-    pos and above are, in a second pass; beyond `most` of them, everything is counted.
+    k-th best (pos - neg); an n-gram of a smaller pos cannot reach that. While some that were not searched for can, eight times as
+    many are, of those that can; if they are still more than `most`, everything is counted.
     """
     rows = _classed(df, text, positive)
-    ours = grams.counted(rows.filter("positive"), low, high).filter(F.col("pos") >= least).select("phrase", "pos")
+    ours = grams.counted(rows.filter("positive"), low, high).select("phrase", "pos")
 
     def with_neg(chosen: list) -> list[tuple[str, int, int]]:
         neg = {r["id"]: r["texts"] for r in grams.occurring(rows.filter("not positive"), [r["phrase"] for r in chosen]).collect()}
         return [(r["phrase"], r["pos"], neg.get(i, 0)) for i, r in enumerate(chosen)]
 
-    first = max(first, k)
-    # what follows the limit keeps the merge of all tasks' best away from the driver
-    chosen = ours.orderBy(F.desc("pos")).limit(first + 1).filter("pos > 0").collect()
-    counts = with_neg(chosen)
-    if len(chosen) > first:
+    n, bound = max(first, k), least
+    while True:
+        # what follows the limit keeps the merge of all tasks' best away from the driver
+        chosen = ours.filter(F.col("pos") >= max(bound, least)).orderBy(F.desc("pos")).limit(n + 1).filter("pos > 0").collect()
+        counts = with_neg(chosen)
+        if len(chosen) <= n:
+            break
         bound = sorted((pos - neg for _, pos, neg in counts), reverse=True)[k - 1]
-        if bound <= min(r["pos"] for r in chosen):
-            chosen = ours.filter(F.col("pos") >= bound).limit(most + 1).collect()
-            if len(chosen) > most:
-                return rank_phrases(phrase_counts(df, text, positive, low, high), k, least)
-            counts = with_neg(chosen)
+        if bound > min(r["pos"] for r in chosen):
+            break
+        if n >= most:
+            return rank_phrases(phrase_counts(df, text, positive, low, high), k, least)
+        n = min(8 * n, most)
     return rank_phrases(df.sparkSession.createDataFrame(counts, "phrase string, pos long, neg long"), k, least)
